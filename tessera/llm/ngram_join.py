@@ -74,19 +74,19 @@ def least_overlap(a: Column, b: Column, percent: int) -> Column:
     return (a + b) * percent / (100 + percent)
 
 
-FIRST = "kind int, doc_id long, n long, node long, check long, ranges array<int>, block int, data binary"
+FIRST = "kind int, doc_id long, row_key long, n long, node long, check long, ranges array<int>, block int, data binary"
 
 
 def digester(k: int, seed: int):
-    """(doc_id, text) to rows of kind 0, one a document, and of kind 1, the task's share of the sketch."""
-    fields = ["kind", "doc_id", "n", "node", "check", "ranges", "block", "data"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary()]
+    """(doc_id, row_key, text) to rows of kind 0, one a document, and of kind 1, the task's share of the sketch."""
+    fields = ["kind", "doc_id", "row_key", "n", "node", "check", "ranges", "block", "data"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.uint32)
         for batch in batches:
-            ids = batch.column(0)
-            data, offsets = common.buffers(batch.column(1))
+            ids, keys = batch.column(0), batch.column(1)
+            data, offsets = common.buffers(batch.column(2))
             for a, b in common.steps(offsets):
                 n, node, check, ranges, every = [], [], [], [], []
                 for own, everything in sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k):
@@ -99,9 +99,9 @@ def digester(k: int, seed: int):
                 np.add(cells, np.bincount((np.concatenate(every) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32), out=cells)
                 m = b - a
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, RANGES * m + 1, RANGES, dtype=np.int32)), pa.array(np.concatenate(ranges)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), ids.slice(a, m), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), lists, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], fields)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), ids.slice(a, m), keys.slice(a, m), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), lists, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], fields)
         blocks = [zlib.compress(x.tobytes(), 1) for x in cells.reshape(BLOCKS, -1)]
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip([[1] * BLOCKS, *[[None] * BLOCKS] * 5, list(range(BLOCKS)), blocks], kinds, strict=True)], fields)
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip([[1] * BLOCKS, *[[None] * BLOCKS] * 6, list(range(BLOCKS)), blocks], kinds, strict=True)], fields)
 
     return run
 
@@ -281,12 +281,17 @@ def components(edges: DataFrame, shared: common.Shared) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
+def row_key(doc_id: str, text: str) -> Column:
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string"))
+
+
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT, hot: int = HOT, bucket_entries: int = BUCKET_ENTRIES, seed: int = 0) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id), one a document."""
+    """Rows (doc_id, row_key, n_shingles, component_id), one a document; row_key is a hash of id and text."""
     spark: SparkSession = docs.sparkSession
     shared = common.Shared(spark)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    first = shared.write(texts.mapInArrow(digester(k, seed), FIRST), keep=True)
+    keyed = texts.select("doc_id", row_key("doc_id", "text").alias("row_key"), "text")
+    first = shared.write(keyed.mapInArrow(digester(k, seed), FIRST), keep=True)
     own = first.where("kind = 0 AND n > 0")
     nodes = shared.write(own.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("check").alias("check"), F.max("check").alias("most"), F.first("ranges").alias("ranges")))
     facts = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum((F.col("check") != F.col("most")).cast("long")), F.lit(0)).alias("clashes")).first()
@@ -316,7 +321,24 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = W
     named = shared.write(smallest.join(ids, "label").select("node", "component_id"), keep=True)
     shared.drop()
     counts.unpersist()
-    return first.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return first.where("kind = 0").select("doc_id", "row_key", F.col("n").alias("n_shingles"), "node").join(named, "node", "left").select("doc_id", "row_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents, all columns kept, with one of each component: that of the smallest id (of several rows with that
+    id, the one of the smallest key). Documents without shingles all stay."""
+    shared = common.Shared(docs.sparkSession)
+    found = shared.write(join(docs, doc_id, text, **options).where("n_shingles > 0"), keep=True)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("row_key").alias("_key"), F.count("*").alias("n"))
+    kept = shared.write(kept.select("_key", "n"), keep=True)
+    facts = kept.agg(F.count("*").alias("rows"), F.coalesce(F.max("n"), F.lit(1)).alias("most")).first()
+    keys = kept.select("_key")
+    solid = docs.where(F.col(text).rlike(r"[^\x20\x09-\x0D]")).withColumn("_key", row_key(doc_id, text))
+    solid = solid.join(F.broadcast(keys) if facts["rows"] <= BROADCAST_IDS else keys, "_key", "left_semi")
+    if facts["most"] > 1:  # an id that is there more than once may have equal rows
+        solid = solid.dropDuplicates(["_key"])
+    empty = docs.where(~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return solid.select(*docs.columns).unionByName(empty)
 
 
 def brute_force(rows: list[tuple[int, str | None]], k: int = WORDS, percent: int = PERCENT) -> list[tuple[int, int, int]]:
