@@ -1,3 +1,56 @@
-STAGES = []
+"""A training corpus from raw documents: five stages, each of which works on all that the one before kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. It is run
+on what its predecessor wrote as Parquet."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.llm import common, decontaminate, ngram_join, pack, pii, quality
+from tessera.llm.queries import TOKENIZER
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble rejects go."""
+    return quality.keep_good(docs, common.table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of links stays: that of the smallest id."""
+    return ngram_join.one_of_each(docs)
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words that occurrences of test phrases cover are cut out of the texts."""
+    return decontaminate.remove(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by the name of its kind."""
+    return pii.mask(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of pieces with their places in sequences."""
+    return pack.pack(docs, TOKENIZER)
+
+
+STAGES = [
+    ("quality", keep_good),
+    ("near_copies", drop_near_copies),
+    ("benchmark", remove_benchmark),
+    ("personal_data", mask_personal_data),
+    ("packing", pack_sequences),
+]
+
+#: Learned models decide in some stages: not to be had in SQL.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    shared = common.Shared(spark)
+    for _, stage in STAGES[:-1]:
+        docs = shared.write(stage(spark, docs, sf_dir), keep=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
