@@ -1,2 +1,168 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Registered similarity queries over documents as keyword sets. Searches ask for every document whose id is divisible by
+50, against all documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import hashing
+from tessera.operators import similarity as S
+from tessera.sources.files import read_table
+
+THRESHOLD, SEEDS, PARTS = 0.3, (42, 43), 16
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, f"{sf_dir}/documents.parquet")
+    return docs.select(F.col("doc_id").alias("id"), hashing.tokens(F.col("text")).alias("keywords"))
+
+
+def asked(corpus: DataFrame) -> DataFrame:
+    return corpus.where(F.col("id") % 50 == 0)
+
+
+def _long(found: DataFrame) -> DataFrame:
+    """Arrays as text, which every engine compares alike."""
+    return found.select("qid", F.size("neighbours").cast("long").alias("n"), F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours"))
+
+
+def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity of each document to the one of the next id."""
+    a = records(spark, sf_dir)
+    b = a.select((F.col("id") - 1).alias("id"), F.col("keywords").alias("other"))
+    return a.join(b, "id").select("id", hashing.jaccard(F.col("keywords"), F.col("other")).alias("similarity"))
+
+
+def minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.signatures(records(spark, sf_dir), SEEDS[0])
+
+
+def exact_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = records(spark, sf_dir)
+    return _long(S.ExactNN(corpus, THRESHOLD).eval(asked(corpus)))
+
+
+def lsh_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = records(spark, sf_dir)
+    return _long(S.Lsh(corpus, SEEDS[0]).eval(asked(corpus)))
+
+
+def lsh_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = records(spark, sf_dir)
+    return _long(S.BroadcastLsh(corpus, SEEDS[0]).eval(asked(corpus)))
+
+
+def lsh_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = records(spark, sf_dir)
+    return _long(S.BalancedLsh(corpus, SEEDS[0], 8).eval(asked(corpus)))
+
+
+def lsh_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = records(spark, sf_dir)
+    return _long(S.both(*[S.Lsh(corpus, s) for s in SEEDS]).eval(asked(corpus)))
+
+
+def lsh_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = records(spark, sf_dir)
+    return _long(S.either(*[S.Lsh(corpus, s) for s in SEEDS]).eval(asked(corpus)))
+
+
+def minhash_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.histogram(S.signatures(records(spark, sf_dir), SEEDS[0]))
+
+
+def equi_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.equi_depth(minhash_histogram(spark, sf_dir), PARTS)
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    corpus = records(spark, sf_dir)
+    queries = asked(corpus)
+    return corpus, queries, S.ExactNN(corpus, THRESHOLD).eval(queries), S.Lsh(corpus, SEEDS[0]).eval(queries)
+
+
+def lsh_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, truth, found = _measured(spark, sf_dir)
+    return S.recall(truth, found).select(F.round("value", 9).alias("value"), "undefined")
+
+
+def lsh_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, truth, found = _measured(spark, sf_dir)
+    return S.precision(truth, found).select(F.round("value", 9).alias("value"), "undefined")
+
+
+def avg_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus, queries, _, found = _measured(spark, sf_dir)
+    return S.average_distance(queries, corpus, found).select(F.round("value", 9).alias("value"))
+
+
+def tune_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds that an AND needs for its precision, with the value reached."""
+    corpus, queries, truth, _ = _measured(spark, sf_dir)
+    made, value = S.tune_precision(corpus, queries, truth.persist())
+    return spark.createDataFrame([(len(made.children), float(value))], "children int, value double")
+
+
+def tune_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds that an OR needs for its recall, with the value reached."""
+    corpus, queries, truth, _ = _measured(spark, sf_dir)
+    made, value = S.tune_recall(corpus, queries, truth.persist())
+    return spark.createDataFrame([(len(made.children), float(value))], "children int, value double")
+
+
+QUERIES = {f.__name__: f for f in (jaccard, minhash, exact_nn, lsh_base, lsh_broadcast, lsh_balanced, lsh_and, lsh_or, minhash_histogram, equi_depth, lsh_recall, lsh_precision, avg_distance, tune_precision, tune_recall)}
+
+# --- the same in SQL -------------------------------------------------------------------------------------------------
+
+_DOCS = "d AS (SELECT doc_id AS id, list_distinct(list_filter(string_split(replace(coalesce(text, ''), chr(10), ' '), ' '), lambda t: t <> '')) AS k FROM documents)"
+
+
+def _wrap(x: str) -> str:
+    return f"(((({x}) + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648)"
+
+
+def _hash(seed: int) -> str:
+    """CTEs to m_<seed>(id, m). Characters beyond the first plane count as their two code units."""
+    s = str(seed)
+    return f"""
+w_{seed} AS (SELECT DISTINCT unnest(k) AS w FROM d),
+u_{seed} AS (SELECT w, list_reduce(list_prepend(CAST(0 AS BIGINT), flatten(list_transform(string_split(w || '{s}', ''), lambda c: CASE WHEN unicode(c) >= 65536 THEN [CAST(55296 + (unicode(c) - 65536) // 1024 AS BIGINT), CAST(56320 + (unicode(c) - 65536) % 1024 AS BIGINT)] ELSE [CAST(unicode(c) AS BIGINT)] END))), lambda a, c: (a * 31 + c) % 4294967296) AS h FROM w_{seed}),
+v_{seed} AS (SELECT w, CAST(floor({_wrap("(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) * -862048943")} / 32768) AS BIGINT) AS h FROM u_{seed}),
+x_{seed} AS (SELECT w, CAST(abs(floor({_wrap("h * 461845907")} / 8192)) AS INTEGER) AS h FROM v_{seed}),
+m_{seed} AS (SELECT d.id, min(x.h) AS m FROM d LEFT JOIN (SELECT id, unnest(k) AS w FROM d) e ON d.id = e.id LEFT JOIN x_{seed} x ON e.w = x.w GROUP BY d.id)"""
+
+
+def _found(name: str, seed: int) -> str:
+    return f"{name} AS (SELECT q.id AS qid, c.id AS nb FROM m_{seed} q JOIN m_{seed} c ON q.m = c.m WHERE q.id % 50 = 0)"
+
+
+_LISTED = "SELECT a.id AS qid, count(f.nb) AS n, coalesce(string_agg(CAST(f.nb AS VARCHAR), ',' ORDER BY f.nb), '') AS neighbours FROM d a LEFT JOIN {} f ON f.qid = a.id WHERE a.id % 50 = 0 GROUP BY a.id"
+_JACCARD = "CASE WHEN u = 0 THEN 1.0 ELSE CAST(CAST(CAST(i AS DOUBLE) / u AS FLOAT) AS DOUBLE) END"
+_EXACT = f"""o AS (SELECT id, unnest(k) AS w FROM d), n AS (SELECT id, len(k) AS n FROM d),
+i AS (SELECT q.id AS qid, c.id AS nb, count(*) AS i FROM o q JOIN o c ON q.w = c.w WHERE q.id % 50 = 0 GROUP BY q.id, c.id),
+e AS (SELECT qid, nb FROM (SELECT qid, nb, i, a.n + b.n - i AS u FROM i JOIN n a ON a.id = qid JOIN n b ON b.id = nb) WHERE {_JACCARD} > {THRESHOLD}
+      UNION ALL SELECT a.id AS qid, b.id AS nb FROM n a JOIN n b ON a.n = 0 AND b.n = 0 WHERE a.id % 50 = 0)"""
+_BASE = f"WITH {_DOCS}, {_hash(42)}, {_found('f', 42)} {_LISTED.format('f')}"
+_MEASURE = f"WITH {_DOCS}, {_EXACT}, {_hash(42)}, {_found('f', 42)}, h AS (SELECT f.qid, count(*) AS h FROM f JOIN e ON f.qid = e.qid AND f.nb = e.nb GROUP BY f.qid)"
+
+
+def _measure(of: str) -> str:
+    return f"{_MEASURE}, z AS (SELECT d.id, coalesce(h.h, 0) AS h, coalesce(t.n, 0) AS n FROM d LEFT JOIN h ON h.qid = d.id LEFT JOIN (SELECT qid, count(*) AS n FROM {of} GROUP BY qid) t ON t.qid = d.id WHERE d.id % 50 = 0) SELECT round(avg(CASE WHEN n > 0 THEN CAST(h AS DOUBLE) / n END), 9) AS value, count(*) FILTER (WHERE n = 0) AS undefined FROM z"
+
+
+ORACLES = {
+    "jaccard": f"WITH {_DOCS} SELECT id, {_JACCARD} AS similarity FROM (SELECT a.id, len(list_intersect(a.k, b.k)) AS i, len(list_distinct(list_concat(a.k, b.k))) AS u FROM d a JOIN d b ON b.id = a.id + 1)",
+    "minhash": f"WITH {_DOCS}, {_hash(42)} SELECT id, m AS minhash FROM m_42",
+    "exact_nn": f"WITH {_DOCS}, {_EXACT} {_LISTED.format('e')}",
+    "lsh_base": _BASE,
+    "lsh_broadcast": _BASE,
+    "lsh_balanced": _BASE,
+    "lsh_and": f"WITH {_DOCS}, {_hash(42)}, {_hash(43)}, {_found('x', 42)}, {_found('y', 43)}, f AS (SELECT x.qid, x.nb FROM x JOIN y ON x.qid = y.qid AND x.nb = y.nb) {_LISTED.format('f')}",
+    "lsh_or": f"WITH {_DOCS}, {_hash(42)}, {_hash(43)}, {_found('x', 42)}, {_found('y', 43)}, f AS (SELECT * FROM x UNION SELECT * FROM y) {_LISTED.format('f')}",
+    "minhash_histogram": f"WITH {_DOCS}, {_hash(42)} SELECT m AS minhash, count(*) AS count FROM m_42 WHERE m IS NOT NULL GROUP BY m",
+    "equi_depth": f"WITH {_DOCS}, {_hash(42)}, c AS (SELECT m AS minhash, count(*) AS count FROM m_42 WHERE m IS NOT NULL GROUP BY m) SELECT minhash, count, CAST(least(floor((sum(count) OVER (ORDER BY minhash) - count) / greatest(ceil((SELECT sum(count) FROM c) / {PARTS}.0), 1)), {PARTS - 1}) AS INTEGER) AS pid FROM c",
+    "lsh_recall": _measure("e"),
+    "lsh_precision": _measure("f"),
+    "avg_distance": f"{_MEASURE}, z AS (SELECT f.qid, avg(1 - {_JACCARD}) AS v FROM (SELECT f.qid, len(list_intersect(a.k, b.k)) AS i, len(list_distinct(list_concat(a.k, b.k))) AS u FROM f JOIN d a ON a.id = f.qid JOIN d b ON b.id = f.nb) f GROUP BY f.qid) SELECT round(avg(coalesce(v, 0)), 9) AS value FROM d LEFT JOIN z ON z.qid = d.id WHERE d.id % 50 = 0",
+}
