@@ -1,2 +1,88 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Registered run-length queries. Ids are o_orderkey (unique and dense), or the rank in the order of status and priority,
+which makes long runs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.operators import rle
+from tessera.plans.rle_plan import RunPlan
+from tessera.sources.files import read_table
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, f"{sf_dir}/orders.parquet")
+
+
+def _runs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return rle.encode(_orders(spark, sf_dir), "o_orderkey", columns)
+
+
+def rle_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _runs(spark, sf_dir, "o_orderstatus", "o_orderpriority")
+
+
+def rle_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rle.decode(_runs(spark, sf_dir, "o_orderstatus"))
+
+
+def rle_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rle.filter_runs(_runs(spark, sf_dir, "o_orderstatus"), F.col("o_orderstatus") == "F")
+
+
+def rle_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rle.project_runs(_runs(spark, sf_dir, "o_orderpriority"), F.substring("o_orderpriority", 1, 1).alias("p"))
+
+
+def rle_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rle.reconstruct(_runs(spark, sf_dir, "o_orderstatus"), _runs(spark, sf_dir, "o_orderpriority"))
+
+
+def rle_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = rle.project_runs(_runs(spark, sf_dir, "o_orderpriority", "o_orderstatus"), "o_orderpriority", F.when(F.col("o_orderstatus") != "P", F.ascii("o_orderstatus").cast("long")).alias("x"))
+    return rle.aggregate_runs(runs, ["o_orderpriority"], [rle.weighted("count").alias("n"), rle.weighted("count", "x").alias("nx"), rle.weighted("sum", "x").alias("total"), F.round(rle.weighted("avg", "x"), 6).alias("mean"), rle.weighted("min", "x").alias("low"), rle.weighted("max", "x").alias("high")])
+
+
+def rle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = rle.encode(_orders(spark, sf_dir), "o_orderkey", ["o_orderpriority"])
+    sizes = read_table(spark, f"{sf_dir}/nation.parquet")
+    right = rle.encode(sizes.select(F.col("n_nationkey").cast("long").alias("vid"), F.concat(F.col("n_regionkey") + 1, F.lit("-x")).alias("tag")), "vid", ["tag"])
+    left = rle.project_runs(left, F.concat(F.substring("o_orderpriority", 1, 1), F.lit("-x")).alias("p"))
+    return rle.join_runs(left, right, [("p", "tag")])
+
+
+def filter_reconstruct_pushdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = RunPlan({"o_orderstatus": _runs(spark, sf_dir, "o_orderstatus"), "o_orderpriority": _runs(spark, sf_dir, "o_orderpriority")})
+    return plan.filter(["o_orderstatus"], F.col("o_orderstatus") == "O").filter(["o_orderpriority"], F.col("o_orderpriority") < "3").rows()
+
+
+QUERIES = {f.__name__: f for f in (rle_encode, rle_decode, rle_filter, rle_project, rle_reconstruct, rle_aggregate, rle_join, filter_reconstruct_pushdown)}
+
+
+def _sql_runs(name: str, table: str, vid: str, values: dict[str, str]) -> str:
+    """CTEs that end in `name`: the runs of values over ids."""
+    changed = " OR ".join([f"v <> lag(v) OVER w + 1", *[f"{c} IS DISTINCT FROM lag({c}) OVER w" for c in values]])
+    return f"""{name}_v AS (SELECT {vid} AS v, {", ".join(f"{e} AS {c}" for c, e in values.items())} FROM {table}),
+{name}_c AS (SELECT *, CASE WHEN lag(v) OVER w IS NULL OR {changed} THEN 1 ELSE 0 END AS new FROM {name}_v WINDOW w AS (ORDER BY v)),
+{name}_g AS (SELECT *, sum(new) OVER (ORDER BY v) AS g FROM {name}_c),
+{name} AS (SELECT CAST(min(v) AS BIGINT) AS start_vid, count(*) AS length, {", ".join(f"min({c}) AS {c}" for c in values)} FROM {name}_g GROUP BY g)"""
+
+
+_S, _P = _sql_runs("s", "orders", "o_orderkey", {"o_orderstatus": "o_orderstatus"}), _sql_runs("p", "orders", "o_orderkey", {"o_orderpriority": "o_orderpriority"})
+ORACLES = {
+    "rle_encode": f"WITH {_sql_runs('r', 'orders', 'o_orderkey', {'o_orderstatus': 'o_orderstatus', 'o_orderpriority': 'o_orderpriority'})} SELECT * FROM r",
+    "rle_decode": "SELECT CAST(o_orderkey AS BIGINT) AS vid, o_orderstatus FROM orders",
+    "rle_filter": f"WITH {_S} SELECT * FROM s WHERE o_orderstatus = 'F'",
+    "rle_project": f"WITH {_P} SELECT start_vid, length, substr(o_orderpriority, 1, 1) AS p FROM p",
+    "rle_reconstruct": f"WITH {_S}, {_P} SELECT greatest(s.start_vid, p.start_vid) AS start_vid, least(s.start_vid + s.length, p.start_vid + p.length) - greatest(s.start_vid, p.start_vid) AS length, o_orderstatus, o_orderpriority FROM s JOIN p ON s.start_vid < p.start_vid + p.length AND p.start_vid < s.start_vid + s.length",
+    "rle_aggregate": """
+WITH t AS (SELECT o_orderpriority, CASE WHEN o_orderstatus <> 'P' THEN CAST(ascii(o_orderstatus) AS BIGINT) END AS x FROM orders)
+SELECT CAST(row_number() OVER (ORDER BY o_orderpriority) - 1 AS BIGINT) AS start_vid, CAST(1 AS BIGINT) AS length, o_orderpriority, count(*) AS n, count(x) AS nx, CAST(sum(x) AS BIGINT) AS total, round(avg(x), 6) AS mean, min(x) AS low, max(x) AS high
+FROM t GROUP BY o_orderpriority""",
+    "rle_join": f"""
+WITH {_P}, {_sql_runs("n", "nation", "n_nationkey", {"tag": "CAST(n_regionkey + 1 AS VARCHAR) || '-x'"})},
+j AS (SELECT p.start_vid AS a, n.start_vid AS b, p.length * n.length AS length, substr(o_orderpriority, 1, 1) || '-x' AS p, tag FROM p JOIN n ON substr(o_orderpriority, 1, 1) || '-x' = tag)
+SELECT CAST(coalesce(sum(length) OVER (ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_vid, length, p, tag FROM j""",
+    "filter_reconstruct_pushdown": "SELECT CAST(o_orderkey AS BIGINT) AS vid, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority < '3'",
+}
