@@ -30,7 +30,7 @@ from tessera.llm import common
 REPEAT_TOKENS, REPEAT_PAGES = 6, 3
 #: A block is boilerplate if repeats cover more than this share of its tokens.
 COVERED = 0.5
-#: Tokens of a host that one suffix array holds, about; larger hosts are dealt by page.
+#: Tokens of a host that one suffix array holds; the suffixes of a larger host are dealt by their first tokens.
 HOST_TOKENS = 1_000_000
 
 #: Element names.
@@ -156,8 +156,9 @@ def suffixes(codes: np.ndarray) -> np.ndarray:
     return order
 
 
-def repeated(pages: list[list[str]], least: int = REPEAT_TOKENS, distinct: int = REPEAT_PAGES) -> list[list[float]]:
-    """For each block of each page the share of its tokens that repeated substrings cover."""
+def repeated(pages: list[list[str]], keys: list[int] | None = None, least: int = REPEAT_TOKENS, distinct: int = REPEAT_PAGES) -> list[list[float]]:
+    """For each block of each page the share of its tokens that repeated substrings cover. Rows of equal key are one page."""
+    number: dict[int, int] = {}
     words: dict[str, int] = {}
     codes, owner, block = [], [], []
     n = 0
@@ -165,7 +166,7 @@ def repeated(pages: list[list[str]], least: int = REPEAT_TOKENS, distinct: int =
         for text in page:
             own = [words.setdefault(w, len(words)) for w in text.split(" ")]
             codes += [*own, -1 - n]
-            owner += [i] * (len(own) + 1)
+            owner += [i if keys is None else number.setdefault(keys[i], len(number))] * (len(own) + 1)
             block += [n] * (len(own) + 1)
             n += 1
     if not codes:
@@ -194,11 +195,25 @@ def repeated(pages: list[list[str]], least: int = REPEAT_TOKENS, distinct: int =
 
 def _unique_runs(pages):
     """The pages of one host, or of one of its parts, without the blocks that repeats cover."""
-    shares = repeated([list(b) for b in pages["blocks"]])
+    shares = repeated([list(b) for b in pages["blocks"]], pages["page_key"].tolist())
     pages["blocks"] = [[x for x, s in zip(b, own, strict=True) if s <= COVERED] for b, own in zip(pages["blocks"], shares, strict=True)]
     return pages[["page_id", "url", "blocks"]]
 
 
+def _dealt(pages: DataFrame) -> DataFrame:
+    """The same for hosts that are too large for one array: suffixes that share their first tokens meet in one group,
+    which counts its distinct pages; only tokens that repeats cover come back to their blocks."""
+    block = pages.select("host", "page_key", F.posexplode("blocks").alias("block", "text")).dropDuplicates(["page_key", "block"]).withColumn("words", F.split("text", " "))
+    starts = F.when(F.size("words") >= REPEAT_TOKENS, F.transform(F.sequence(F.lit(1), F.size("words") - REPEAT_TOKENS + 1), lambda i: F.xxhash64(F.slice("words", i, F.lit(REPEAT_TOKENS)))))
+    suffix = block.select("host", "page_key", "block", F.size("words").alias("n"), F.posexplode(starts).alias("at", "first"))
+    often = suffix.select("host", "first", "page_key").distinct().groupBy("host", "first").agg(F.count("*").alias("pages")).where(F.col("pages") >= REPEAT_PAGES).select("host", "first")
+    hit = suffix.join(often, ["host", "first"]).groupBy("page_key", "block").agg(F.first("n").alias("n"), F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + REPEAT_TOKENS - 1)))).alias("covered"))
+    gone = hit.where(F.size("covered") > F.col("n") * COVERED).groupBy("page_key").agg(F.collect_set("block").alias("gone"))
+    joined = pages.join(gone, "page_key", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    kept = F.filter("blocks", lambda _, i: ~F.array_contains("gone", i))
+    return joined.select("page_id", "url", kept.alias("blocks"))
+
+
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """Rows (page_id, url, text, n_chars)."""
     spark = pages.sparkSession
@@ -208,9 +223,10 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
     done = parsed.where("article OR tokens = 0").select("page_id", "url", "blocks")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1))
     open_ = parsed.where("NOT article AND tokens > 0").withColumn("host", host)
-    # tokens of each host in blocks of hashes of pages: a large host is dealt into parts of a bounded size
     sizes = open_.groupBy("host").agg(F.sum("tokens").alias("host_tokens"))
-    dealt = open_.join(sizes, "host").withColumn("part", F.pmod("page_key", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("host_tokens") / HOST_TOKENS))))
-    rest = dealt.groupBy("host", "part").applyInPandas(_unique_runs, "page_id long, url string, blocks array<string>")
+    sized = open_.join(sizes, "host")
+    small = sized.where(F.col("host_tokens") <= HOST_TOKENS).groupBy("host").applyInPandas(_unique_runs, "page_id long, url string, blocks array<string>")
+    large = _dealt(sized.where(F.col("host_tokens") > HOST_TOKENS))
+    rest = small.unionByName(large)
     text = F.array_join("blocks", "\n\n")
     return done.unionByName(rest).select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
