@@ -39,8 +39,8 @@ BUCKET_ENTRIES, HOT = 1_000_000, 500_000
 RANGES = 32
 #: Entries that a task holds before it packs them.
 HELD = 1_500_000
-#: Document ids that may be broadcast (8 MB); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Rows of a few numbers each that may be broadcast (tens of MB); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 _LOWER = common.lower_ascii()
 
@@ -125,21 +125,27 @@ def sketch(first: DataFrame) -> np.ndarray:
     return cells.reshape(-1)
 
 
-def pack(gram: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray, rank: np.ndarray) -> bytes:
-    """Columns of one bucket. 40 bits of the shingle are kept beside the bucket's own: a clash only adds a candidate."""
+#: Marks an entry whose shingle is dealt over several buckets, beside the number of the shingle's own bucket.
+SPREAD = np.uint32(1 << 31)
+
+
+def pack(gram: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray, rank: np.ndarray, home: np.ndarray) -> bytes:
+    """Columns of one bucket. 40 bits of the shingle are kept beside its own bucket: a clash only adds a candidate."""
     gram = gram & np.uint64((1 << 40) - 1)
     order = np.argsort(node)
-    parts = [(gram & np.uint64(0xFFFFFFFF)).astype(np.uint32), (gram >> np.uint64(32)).astype(np.uint8), node, n.astype(np.uint32), at.astype(np.uint32), rank.astype(np.uint16)]
+    parts = [(gram & np.uint64(0xFFFFFFFF)).astype(np.uint32), (gram >> np.uint64(32)).astype(np.uint8), node, n.astype(np.uint32), at.astype(np.uint32), rank.astype(np.uint16), home]
     return zlib.compress(len(gram).to_bytes(8, "little") + b"".join(x[order].tobytes() for x in parts), 1)
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
     blob = zlib.decompress(blob)
     m, at, out = int.from_bytes(blob[:8], "little"), 8, []
-    for kind in (np.uint32, np.uint8, np.int64, np.uint32, np.uint32, np.uint16):
+    for kind in (np.uint32, np.uint8, np.int64, np.uint32, np.uint32, np.uint16, np.uint32):
         out.append(np.frombuffer(blob, kind, m, at))
         at += m * out[-1].itemsize
-    return [out[0].astype(np.int64) | out[1].astype(np.int64) << 32, *out[2:]]
+    home = out.pop()
+    gram = out[0].astype(np.int64) | out[1].astype(np.int64) << 32 | (home & ~SPREAD).astype(np.int64) << 40
+    return [gram, *out[2:], home >= SPREAD]
 
 
 def prefixes(counts, k: int, percent: int, seed: int, buckets: int, hot: int):
@@ -150,18 +156,20 @@ def prefixes(counts, k: int, percent: int, seed: int, buckets: int, hot: int):
 
         def flush() -> pa.RecordBatch:
             gram, node, n, at, rank, often = (np.concatenate(x) for x in zip(*held, strict=True))
-            key = gram
+            home = (gram >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
+            bucket = home.astype(np.int64)
+            home = home.astype(np.uint32)
             spread = often > hot
             if spread.any():  # a hot shingle goes to as many buckets as it fills, by the node
                 ways = -(-often[spread].astype(np.int64) // hot)
                 salt = (common.mix(node[spread].view(np.uint64)) >> np.uint64(1)).astype(np.int64) % ways
-                key = gram.copy()
-                key[spread] = common.mix(gram[spread] + salt.astype(np.uint64))
-            bucket = ((key >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+                key = common.mix(gram[spread] + salt.astype(np.uint64))
+                bucket[spread] = ((key >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+                home[spread] |= SPREAD
             order = np.argsort(bucket, kind="stable")
             cut = np.flatnonzero(np.diff(bucket[order])) + 1
             groups = np.split(order, cut)
-            return pa.RecordBatch.from_arrays([pa.array([int(bucket[g[0]]) for g in groups], pa.int32()), pa.array([pack(gram[g], node[g], n[g], at[g], rank[g]) for g in groups], pa.binary())], ["bucket", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([int(bucket[g[0]]) for g in groups], pa.int32()), pa.array([pack(gram[g], node[g], n[g], at[g], rank[g], home[g]) for g in groups], pa.binary())], ["bucket", "data"])
 
         for batch in batches:
             data, offsets = common.buffers(batch.column(1))
@@ -202,19 +210,20 @@ def paired(percent: int):
             for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 held.setdefault(bucket, []).append(unpack(data.as_py()))
         for bucket in list(held):
-            gram, node, n, at, rank = (np.concatenate(x) for x in zip(*held.pop(bucket), strict=True))
+            gram, node, n, at, rank, spread = (np.concatenate(x) for x in zip(*held.pop(bucket), strict=True))
             order = np.argsort(gram, kind="stable")
             same = gram[order][1:] == gram[order][:-1]
-            order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]  # alone for certain: dropped
+            # an entry alone is dropped, unless other buckets may have its shingle too
+            order = order[np.concatenate(([False], same)) | np.concatenate((same, [False])) | spread[order]]
             order = order[np.lexsort((node[order], -rank[order].astype(np.int64), gram[order]))]
-            gram, node, n, at = gram[order], node[order], n[order].astype(np.int64), at[order].astype(np.int64)
+            gram, node, n, at, spread = gram[order], node[order], n[order].astype(np.int64), at[order].astype(np.int64), spread[order]
             fresh = np.concatenate(([True], (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])))[: len(gram)]
-            gram, node, n, at = gram[fresh], node[fresh], n[fresh], at[fresh]
+            gram, node, n, at, spread = gram[fresh], node[fresh], n[fresh], at[fresh], spread[fresh]
             if not len(gram):
                 continue
             head = np.concatenate(([True], gram[1:] != gram[:-1]))
             group = np.cumsum(head) - 1
-            shared = np.bincount(group)[group] > 1
+            shared = (np.bincount(group)[group] > 1) | spread
             gram, node, n, at, head = gram[shared], node[shared], n[shared], at[shared], head[shared]
             if not len(gram):
                 continue
@@ -228,7 +237,7 @@ def paired(percent: int):
             a, b, m = a[fresh], b[fresh], len(gram)
             none = lambda m, t: pa.nulls(m, t)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), pa.array(a), pa.array(b), none(len(a), pa.int64()), none(len(a), pa.int32()), none(len(a), pa.int32())], ["kind", "a", "b", "gram", "n", "at"])
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(node), none(m, pa.int64()), pa.array(gram | np.int64(bucket) << 40), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32))], ["kind", "a", "b", "gram", "n", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(node), none(m, pa.int64()), pa.array(gram), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32))], ["kind", "a", "b", "gram", "n", "at"])
 
     return run
 
@@ -247,6 +256,11 @@ def _full_sets(k: int, seed: int):
     return run
 
 
+def small(df: DataFrame) -> DataFrame:
+    """The table, to be broadcast if its counted rows are few enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int, seed: int, shared: common.Shared) -> DataFrame:
     """The pairs (a, b) that link. pairs: distinct."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("ranges").alias(f"ranges_{x}"), F.col("doc_id").alias(f"doc_{x}"))
@@ -254,7 +268,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, perce
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(bound >= least_overlap(F.col("n_a"), F.col("n_b"), percent))
     near = shared.write(near.select("a", "b", "doc_a", "doc_b"))
     ids = shared.write(near.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct())
-    few = ids.count() <= BROADCAST_IDS
+    few = ids.count() <= BROADCAST_ROWS
     full = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_full_sets(k, seed), "node long, grams array<long>")
     full = shared.write(full.dropDuplicates(["node"]))
     both = near.select("a", "b").join(full.select(F.col("node").alias("b"), F.col("grams").alias("grams_b")), "b").join(full.select(F.col("node").alias("a"), F.col("grams").alias("grams_a")), "a")
@@ -329,16 +343,17 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     id, the one of the smallest key). Documents without shingles all stay."""
     shared = common.Shared(docs.sparkSession)
     found = shared.write(join(docs, doc_id, text, **options).where("n_shingles > 0"), keep=True)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("row_key").alias("_key"), F.count("*").alias("n"))
-    kept = shared.write(kept.select("_key", "n"), keep=True)
-    facts = kept.agg(F.count("*").alias("rows"), F.coalesce(F.max("n"), F.lit(1)).alias("most")).first()
-    keys = kept.select("_key")
-    solid = docs.where(F.col(text).rlike(r"[^\x20\x09-\x0D]")).withColumn("_key", row_key(doc_id, text))
-    solid = solid.join(F.broadcast(keys) if facts["rows"] <= BROADCAST_IDS else keys, "_key", "left_semi")
-    if facts["most"] > 1:  # an id that is there more than once may have equal rows
-        solid = solid.dropDuplicates(["_key"])
-    empty = docs.where(~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    return solid.select(*docs.columns).unionByName(empty)
+    key = "_key"
+    while key in docs.columns:
+        key += "_"
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("row_key").alias(key), F.count("*").alias("n"))
+    kept = shared.write(kept.select(key, "n"), keep=True)
+    most = kept.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    has_words = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    solid = docs.where(has_words).withColumn(key, row_key(doc_id, text)).join(small(kept.select(key)), key, "left_semi")
+    if most > 1:  # an id that is there more than once may have equal rows
+        solid = solid.dropDuplicates([key])
+    return solid.select(*docs.columns).unionByName(docs.where(~has_words))
 
 
 def brute_force(rows: list[tuple[int, str | None]], k: int = WORDS, percent: int = PERCENT) -> list[tuple[int, int, int]]:

@@ -216,9 +216,10 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that the rules accept, all columns kept."""
-    columns = list(docs.columns)
-    stats = with_statistics(docs, text, columns)
-    value = compiled(*trained(stats, labels))
-    return stats.where(value >= 0.5).select(*columns)
+def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that the rules accept, all columns kept, whatever their names."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, names, strict=True))
+    stats = with_statistics(docs.toDF(*names), at[text], names)
+    value = compiled(*trained(stats.select(F.col(at[doc_id]).alias("doc_id"), *STATISTICS), labels))
+    return stats.where(value >= 0.5).select(*[F.col(n).alias(c) for c, n in at.items()])

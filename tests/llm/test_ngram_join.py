@@ -65,7 +65,7 @@ def test_defined_cases(spark):
 
 def test_one_of_each(spark):
     rows = [(5, "p q r s t u"), (5, "p q r s t u"), (7, "P q r s t u"), (8, "nothing like it in here"), (9, ""), (9, ""), (10, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("clash"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_key", F.lit("clash"))
     out = sorted((r.doc_id, r.text or "") for r in J.one_of_each(docs).collect())
     assert out == [(5, "p q r s t u"), (8, "nothing like it in here"), (9, ""), (9, ""), (10, "")]
 
