@@ -3,7 +3,7 @@ which makes long runs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import rle
@@ -39,6 +39,17 @@ def rle_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rle.reconstruct(_runs(spark, sf_dir, "o_orderstatus"), _runs(spark, sf_dir, "o_orderpriority"))
 
 
+def rle_reconstruct_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids by rank in (status, priority, key): numbered within each group, after the counts of the (few) groups before."""
+    orders = _orders(spark, sf_dir).select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    group = ["o_orderstatus", "o_orderpriority"]
+    before = orders.groupBy(*group).agg(F.count("*").alias("n"))
+    before = before.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(*group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy(*group).orderBy("o_orderkey"))
+    ranked = orders.withColumn("own", own).join(F.broadcast(before), group).select((F.col("before") + F.col("own") - 1).alias("vid"), *group)
+    return rle.reconstruct(rle.encode(ranked, "vid", ["o_orderstatus"]), rle.encode(ranked, "vid", ["o_orderpriority"]))
+
+
 def rle_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = rle.project_runs(_runs(spark, sf_dir, "o_orderpriority", "o_orderstatus"), "o_orderpriority", F.when(F.col("o_orderstatus") != "P", F.ascii("o_orderstatus").cast("long")).alias("x"))
     return rle.aggregate_runs(runs, ["o_orderpriority"], [rle.weighted("count").alias("n"), rle.weighted("count", "x").alias("nx"), rle.weighted("sum", "x").alias("total"), F.round(rle.weighted("avg", "x"), 6).alias("mean"), rle.weighted("min", "x").alias("low"), rle.weighted("max", "x").alias("high")])
@@ -57,7 +68,7 @@ def filter_reconstruct_pushdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.filter(["o_orderstatus"], F.col("o_orderstatus") == "O").filter(["o_orderpriority"], F.col("o_orderpriority") < "3").rows()
 
 
-QUERIES = {f.__name__: f for f in (rle_encode, rle_decode, rle_filter, rle_project, rle_reconstruct, rle_aggregate, rle_join, filter_reconstruct_pushdown)}
+QUERIES = {f.__name__: f for f in (rle_encode, rle_decode, rle_filter, rle_project, rle_reconstruct, rle_reconstruct_long, rle_aggregate, rle_join, filter_reconstruct_pushdown)}
 
 
 def _sql_runs(name: str, table: str, vid: str, values: dict[str, str]) -> str:
@@ -76,6 +87,9 @@ ORACLES = {
     "rle_filter": f"WITH {_S} SELECT * FROM s WHERE o_orderstatus = 'F'",
     "rle_project": f"WITH {_P} SELECT start_vid, length, substr(o_orderpriority, 1, 1) AS p FROM p",
     "rle_reconstruct": f"WITH {_S}, {_P} SELECT greatest(s.start_vid, p.start_vid) AS start_vid, least(s.start_vid + s.length, p.start_vid + p.length) - greatest(s.start_vid, p.start_vid) AS length, o_orderstatus, o_orderpriority FROM s JOIN p ON s.start_vid < p.start_vid + p.length AND p.start_vid < s.start_vid + s.length",
+    "rle_reconstruct_long": """
+SELECT CAST(min(v) AS BIGINT) AS start_vid, count(*) AS length, o_orderstatus, o_orderpriority
+FROM (SELECT row_number() OVER (ORDER BY o_orderstatus, o_orderpriority, o_orderkey) - 1 AS v, o_orderstatus, o_orderpriority FROM orders) GROUP BY o_orderstatus, o_orderpriority""",
     "rle_aggregate": """
 WITH t AS (SELECT o_orderpriority, CASE WHEN o_orderstatus <> 'P' THEN CAST(ascii(o_orderstatus) AS BIGINT) END AS x FROM orders)
 SELECT CAST(row_number() OVER (ORDER BY o_orderpriority) - 1 AS BIGINT) AS start_vid, CAST(1 AS BIGINT) AS length, o_orderpriority, count(*) AS n, count(x) AS nx, CAST(sum(x) AS BIGINT) AS total, round(avg(x), 6) AS mean, min(x) AS low, max(x) AS high

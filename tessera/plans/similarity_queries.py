@@ -68,6 +68,18 @@ def lsh_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(S.either(*[S.Lsh(corpus, s) for s in SEEDS]).eval(asked(corpus)))
 
 
+def lsh_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OR of an AND and a third construction."""
+    corpus = records(spark, sf_dir)
+    return _long(S.either(S.both(*[S.Lsh(corpus, s) for s in SEEDS]), S.Lsh(corpus, 44)).eval(asked(corpus)))
+
+
+def bucket_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of each bucket, as text."""
+    found = S.buckets(S.signatures(records(spark, sf_dir), SEEDS[0]))
+    return found.select("minhash", F.size("members").cast("long").alias("n"), F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+
+
 def minhash_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.histogram(S.signatures(records(spark, sf_dir), SEEDS[0]))
 
@@ -111,7 +123,7 @@ def tune_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(len(made.children), float(value))], "children int, value double")
 
 
-QUERIES = {f.__name__: f for f in (jaccard, minhash, exact_nn, lsh_base, lsh_broadcast, lsh_balanced, lsh_and, lsh_or, minhash_histogram, equi_depth, lsh_recall, lsh_precision, avg_distance, tune_precision, tune_recall)}
+QUERIES = {f.__name__: f for f in (jaccard, minhash, exact_nn, lsh_base, lsh_broadcast, lsh_balanced, lsh_and, lsh_or, lsh_nested, bucket_build, minhash_histogram, equi_depth, lsh_recall, lsh_precision, avg_distance, tune_precision, tune_recall)}
 
 # --- the same in SQL -------------------------------------------------------------------------------------------------
 
@@ -160,6 +172,8 @@ ORACLES = {
     "lsh_balanced": _BASE,
     "lsh_and": f"WITH {_DOCS}, {_hash(42)}, {_hash(43)}, {_found('x', 42)}, {_found('y', 43)}, f AS (SELECT x.qid, x.nb FROM x JOIN y ON x.qid = y.qid AND x.nb = y.nb) {_LISTED.format('f')}",
     "lsh_or": f"WITH {_DOCS}, {_hash(42)}, {_hash(43)}, {_found('x', 42)}, {_found('y', 43)}, f AS (SELECT * FROM x UNION SELECT * FROM y) {_LISTED.format('f')}",
+    "lsh_nested": f"WITH {_DOCS}, {_hash(42)}, {_hash(43)}, {_hash(44)}, {_found('x', 42)}, {_found('y', 43)}, {_found('z', 44)}, f AS (SELECT x.qid, x.nb FROM x JOIN y ON x.qid = y.qid AND x.nb = y.nb UNION SELECT * FROM z) {_LISTED.format('f')}",
+    "bucket_build": f"WITH {_DOCS}, {_hash(42)} SELECT m AS minhash, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS members FROM m_42 WHERE m IS NOT NULL GROUP BY m",
     "minhash_histogram": f"WITH {_DOCS}, {_hash(42)} SELECT m AS minhash, count(*) AS count FROM m_42 WHERE m IS NOT NULL GROUP BY m",
     "equi_depth": f"WITH {_DOCS}, {_hash(42)}, c AS (SELECT m AS minhash, count(*) AS count FROM m_42 WHERE m IS NOT NULL GROUP BY m) SELECT minhash, count, CAST(least(floor((sum(count) OVER (ORDER BY minhash) - count) / greatest(ceil((SELECT sum(count) FROM c) / {PARTS}.0), 1)), {PARTS - 1}) AS INTEGER) AS pid FROM c",
     "lsh_recall": _measure("e"),
