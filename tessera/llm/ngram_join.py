@@ -38,7 +38,7 @@ BUCKET_ENTRIES, HOT = 1_000_000, 500_000
 #: Hash ranges of the suffix filter.
 RANGES = 32
 #: Entries that a task holds before it packs them.
-HELD = 1_500_000
+HELD = 600_000
 #: Rows of a few numbers each that may be broadcast (tens of MB); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -262,16 +262,18 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int, seed: int, shared: common.Shared) -> DataFrame:
-    """The pairs (a, b) that link. pairs: distinct."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("ranges").alias(f"ranges_{x}"), F.col("doc_id").alias(f"doc_{x}"))
+    """The pairs (a, b) that link. pairs: distinct. Sets are made again from the texts of the nodes that are left, and each
+    set travels once for each of its pairs, to the pair."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("ranges").alias(f"ranges_{x}"), F.col("row_key").alias(f"key_{x}"))
     bound = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(bound >= least_overlap(F.col("n_a"), F.col("n_b"), percent))
-    near = shared.write(near.select("a", "b", "doc_a", "doc_b"))
-    ids = shared.write(near.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct())
-    few = ids.count() <= BROADCAST_ROWS
-    full = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_full_sets(k, seed), "node long, grams array<long>")
-    full = shared.write(full.dropDuplicates(["node"]))
-    both = near.select("a", "b").join(full.select(F.col("node").alias("b"), F.col("grams").alias("grams_b")), "b").join(full.select(F.col("node").alias("a"), F.col("grams").alias("grams_a")), "a")
+    near = shared.write(near.select("a", "b", "key_a", "key_b"))
+    keys = shared.write(near.select(F.explode(F.array("key_a", "key_b")).alias("row_key")).distinct())
+    members = shared.write(near.select("a", "b", F.explode(F.array("a", "b")).alias("node")))
+    full = texts.join(small(keys), "row_key", "left_semi").select("row_key", "text").mapInArrow(_full_sets(k, seed), "node long, grams array<long>")
+    dealt = full.join(small(members), "node")
+    own = lambda x: F.first(F.when(F.col("node") == F.col(x), F.col("grams")), ignorenulls=True).alias(f"grams_{x}")
+    both = dealt.groupBy("a", "b").agg(own("a"), own("b"))
     common_ = F.size(F.array_intersect("grams_a", "grams_b"))
     return both.where(100 * common_ >= percent * (F.size("grams_a") + F.size("grams_b") - common_)).select("a", "b")
 
@@ -307,7 +309,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = W
     keyed = texts.select("doc_id", row_key("doc_id", "text").alias("row_key"), "text")
     first = shared.write(keyed.mapInArrow(digester(k, seed), FIRST), keep=True)
     own = first.where("kind = 0 AND n > 0")
-    nodes = shared.write(own.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("check").alias("check"), F.max("check").alias("most"), F.first("ranges").alias("ranges")))
+    nodes = shared.write(own.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row_key").alias("row_key"), F.min("n").alias("n"), F.min("check").alias("check"), F.max("check").alias("most"), F.first("ranges").alias("ranges")))
     facts = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum((F.col("check") != F.col("most")).cast("long")), F.lit(0)).alias("clashes")).first()
     if facts["clashes"]:  # two sets with one 64-bit digest: once in many runs; other digests then
         shared.drop()
@@ -317,17 +319,17 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = W
     packed = texts.mapInArrow(prefixes(counts, k, percent, seed, buckets, hot), "bucket int, data binary")
     second = shared.write(common.scatter(packed, buckets).mapInArrow(paired(percent), SECOND))
     pairs = shared.write(second.where("kind = 0").select("a", "b").distinct())
-    links = shared.write(verified(pairs, nodes, texts, k, percent, seed, shared))
+    links = shared.write(verified(pairs, nodes, keyed, k, percent, seed, shared))
     labels = shared.write(components(links, shared))
     # what is left: shingles whose nodes are in more than one component
-    entries = second.where("kind = 1").select("gram", F.col("a").alias("node"), "n", "at").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    entries = second.where("kind = 1").select("gram", F.col("a").alias("node"), "n", "at").join(small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = entries.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("gram")
     rest = shared.write(entries.join(mixed, "gram"))
     x, y = rest.alias("x"), rest.alias("y")
     left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
     crossing = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (left >= least_overlap(F.col("x.n"), F.col("y.n"), percent)))
     crossing = crossing.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = shared.write(verified(crossing, nodes, texts, k, percent, seed, shared))
+    more = shared.write(verified(crossing, nodes, keyed, k, percent, seed, shared))
     if more.limit(1).count():
         labels = shared.write(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more), shared))
     smallest = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
