@@ -4,7 +4,8 @@ Documents become token ids with a closing 0; longer ones than a sequence are cut
 others are dealt by hash to cells of a bounded size; in each cell, islands evolve packings whose genes are bins: a child
 takes well-filled bins of one parent, drops the other parent's bins that hold the same pieces, and best-fits the
 displaced pieces. Between epochs the best packing of each island moves to the next one. Bins of the best packing that
-are not full enough are dissolved, and their pieces go to the next level's cells, until one cell holds them all.
+are not full enough are dissolved, and their pieces go to the next level's cells, until one cell holds them all or most
+of them are left over again. A cell never grows with the input.
 
 Defined cases: a null or empty text is the single id 0; equal documents are packed one by one; an empty table gives no
 rows; further columns are not read."""
@@ -348,18 +349,17 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
         # bins are collected within a cell, whose size is bounded
         bins = piece.groupBy("cell", "bin").agg(F.array_sort(F.collect_list("m")).alias("ms"), F.sum("m.length").alias("fill"))
         bins = shared.write(bins, keep=True)
-        last = cells == 1
+        poor = bins.where(F.col("fill") < F.lit(FULL * sequence))
+        left = poor.agg(F.coalesce(F.sum(F.size("ms")), F.lit(0))).first()[0]
+        # where the most part of many cells cannot be packed well, other cells of the same lengths would not do better
+        last = cells == 1 or left > 0.5 * count
         kept = bins if last else bins.where(F.col("fill") >= F.lit(FULL * sequence))
         fill = F.aggregate(F.slice("ms", 1, F.col("at")), F.lit(0).cast("long"), lambda n, m: n + m["length"])
         number = F.lit(level).cast("long") * (1 << 56) + F.col("cell") * (1 << 20) + F.col("bin")
         parts.append(kept.select("cell", "bin", "ms", F.posexplode("ms").alias("at", "m")).select(*[F.col(f"m.{c}").alias(c) for c in columns], number.alias("sequence_id"), fill.alias("offset")))
         if last:
             break
-        rest = bins.where(F.col("fill") < F.lit(FULL * sequence)).select(F.explode("ms").alias("m")).select("m.*")
-        before, count = count, rest.count()
-        level += 1
-        if count > 0.9 * before:  # cells of this size cannot do better: one more level in larger ones
-            cell *= 2
+        rest, count, level = poor.select(F.explode("ms").alias("m")).select("m.*"), left, level + 1
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -58,6 +58,14 @@ def test_defined_cases_and_small_cells(spark, library):
     assert [(r.doc_id, r.length) for r in again] == [(500, 1), (500, 1)] and {r.offset for r in again} == {0, 1}
 
 
+def test_lengths_that_fill_no_bin(spark, library):
+    """Pieces of which no two fit together: cells do not grow, and no piece is lost."""
+    text = "the " * 1100
+    docs = spark.createDataFrame([(i, text) for i in range(90)], "doc_id long, text string")
+    tokens = [*library.encode(text, add_special_tokens=False).ids, 0]
+    assert check(pack.pack(docs, TOKENIZER, cell=8, children=2).collect(), {i: tokens for i in range(90)}) == 90
+
+
 def test_children_keep_every_piece_and_improve():
     rng = np.random.default_rng(3)
     lengths = [int(x) for x in np.concatenate([rng.integers(250, 760, 120), rng.integers(100, 500, 120)])]
