@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -13,7 +14,7 @@ def spark(tmp_path_factory):
     from tessera.session import local_session
 
     base = tmp_path_factory.mktemp("spark")
-    session = local_session("tests", 8, 4, **{"spark.sql.warehouse.dir": str(base / "warehouse"), "spark.checkpoint.dir": str(base / "shared")})
+    session = local_session("tests", int(os.environ.get("TEST_CPUS", "8")), 4, **{"spark.sql.warehouse.dir": str(base / "warehouse"), "spark.checkpoint.dir": str(base / "shared")})
     yield session
     session.stop()
 
