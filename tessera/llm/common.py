@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.java_gateway import JavaObject
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; a longer text is one step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +36,7 @@ class Shared:
 
     A table that a returned DataFrame still reads is kept until the driver ends; the others go with drop()."""
 
-    _kept: list[tuple[SparkSession, str]] = []
+    _kept: list[tuple[JavaObject, JavaObject]] = []  # file system and path
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
@@ -41,7 +44,10 @@ class Shared:
     def write(self, df: DataFrame, keep: bool = False) -> DataFrame:
         path = f"{shared_root(self.spark)}/tessera-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(path)
-        (self._kept.append((self.spark, path)) if keep else self.paths.append(path))
+        if keep:
+            self._kept.append(_place(self.spark, path))
+        else:
+            self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
@@ -50,20 +56,44 @@ class Shared:
         self.paths = []
 
 
-def delete(spark: SparkSession, path: str) -> None:
+def _place(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, at = _place(spark, path)
+    files.delete(at, True)
 
 
 @atexit.register
 def _at_end() -> None:
-    for spark, path in Shared._kept:
+    """Runs before the driver's JVM ends; where that has gone first, the cluster's cleaning of the folder is left."""
+    for files, at in Shared._kept:
         try:
-            delete(spark, path)
-        except Exception:  # the JVM has gone already: nothing to delete with
+            files.delete(at, True)
+        except (Py4JError, OSError):
             return
 
 
+# --- tasks -----------------------------------------------------------------------------------------------------------
+
+
+def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function for a partition; at its end the worker, which Spark uses again, gives freed memory back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return run
+
+
 # --- text buffers ----------------------------------------------------------------------------------------------------
 
 

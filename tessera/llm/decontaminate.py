@@ -298,7 +298,7 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     """Per document: row_key, doc_id, n_words, merged word spans, merged byte spans (of UTF-8), items. Each block of test
     items takes a pass over the documents; the usual single block needs no shuffle at all."""
     source = docs.select(F.xxhash64(F.col(doc_id)).alias("row_key"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    passes = [source.mapInArrow(searcher(Phrases(block, window), shard_words), SCHEMA) for block in blocks(benchmark, item_id, item_text, block_bytes)]
+    passes = [source.mapInArrow(common.tidy(searcher(Phrases(block, window), shard_words)), SCHEMA) for block in blocks(benchmark, item_id, item_text, block_bytes)]
     return passes[0] if len(passes) == 1 else _combined(docs, benchmark, passes)
 
 
@@ -347,7 +347,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
     """The documents without the merged removal spans, all columns kept; `n_chars`, if there, is counted anew."""
     out = docs
     for block in blocks(benchmark, item_id, item_text):
-        out = out.mapInArrow(_cut(Phrases(block, window), docs.columns.index(text)), docs.schema)
+        out = out.mapInArrow(common.tidy(_cut(Phrases(block, window), docs.columns.index(text))), docs.schema)
     return out.withColumn("n_chars", F.when(F.col(text).isNull(), F.col("n_chars")).otherwise(F.char_length(text)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -219,7 +219,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
     spark = pages.sparkSession
     shared = common.Shared(spark)
     source = pages.select(F.xxhash64(page_id, url, page).alias("page_key"), F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"))
-    parsed = shared.write(source.mapInArrow(_parsed, "page_key long, page_id long, url string, blocks array<string>, article boolean, tokens long"), keep=True)
+    parsed = shared.write(source.mapInArrow(common.tidy(_parsed), "page_key long, page_id long, url string, blocks array<string>, article boolean, tokens long"), keep=True)
     done = parsed.where("article OR tokens = 0").select("page_id", "url", "blocks")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1))
     open_ = parsed.where("NOT article AND tokens > 0").withColumn("host", host)

@@ -118,7 +118,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sketch(first: DataFrame) -> np.ndarray:
     """Counts of shingles by cell, over all documents; a fixed 8 MB on the driver."""
-    rows = first.where("kind = 1").select("block", "data").repartition(BLOCKS, "block").mapInArrow(_added, "block int, data binary").collect()
+    rows = first.where("kind = 1").select("block", "data").repartition(BLOCKS, "block").mapInArrow(common.tidy(_added), "block int, data binary").collect()
     cells = np.zeros((BLOCKS, CELLS // BLOCKS), np.uint64)
     for r in rows:
         cells[r["block"]] += np.frombuffer(r["data"], np.uint64)
@@ -270,7 +270,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, perce
     near = shared.write(near.select("a", "b", "key_a", "key_b"))
     keys = shared.write(near.select(F.explode(F.array("key_a", "key_b")).alias("row_key")).distinct())
     members = shared.write(near.select("a", "b", F.explode(F.array("a", "b")).alias("node")))
-    full = texts.join(small(keys), "row_key", "left_semi").select("row_key", "text").mapInArrow(_full_sets(k, seed), "node long, grams array<long>")
+    full = texts.join(small(keys), "row_key", "left_semi").select("row_key", "text").mapInArrow(common.tidy(_full_sets(k, seed)), "node long, grams array<long>")
     dealt = full.join(small(members), "node")
     own = lambda x: F.first(F.when(F.col("node") == F.col(x), F.col("grams")), ignorenulls=True).alias(f"grams_{x}")
     both = dealt.groupBy("a", "b").agg(own("a"), own("b"))
@@ -307,7 +307,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = W
     shared = common.Shared(spark)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     keyed = texts.select("doc_id", row_key("doc_id", "text").alias("row_key"), "text")
-    first = shared.write(keyed.mapInArrow(digester(k, seed), FIRST), keep=True)
+    first = shared.write(keyed.mapInArrow(common.tidy(digester(k, seed)), FIRST), keep=True)
     own = first.where("kind = 0 AND n > 0")
     nodes = shared.write(own.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row_key").alias("row_key"), F.min("n").alias("n"), F.min("check").alias("check"), F.max("check").alias("most"), F.first("ranges").alias("ranges")))
     facts = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum((F.col("check") != F.col("most")).cast("long")), F.lit(0)).alias("clashes")).first()
@@ -316,8 +316,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = W
         return join(docs, doc_id, text, k, percent, hot, bucket_entries, seed + 1)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(facts["total"] * (100 - percent) / 100 / bucket_entries))
     counts = spark.sparkContext.broadcast(sketch(first))
-    packed = texts.mapInArrow(prefixes(counts, k, percent, seed, buckets, hot), "bucket int, data binary")
-    second = shared.write(common.scatter(packed, buckets).mapInArrow(paired(percent), SECOND))
+    packed = texts.mapInArrow(common.tidy(prefixes(counts, k, percent, seed, buckets, hot)), "bucket int, data binary")
+    second = shared.write(common.scatter(packed, buckets).mapInArrow(common.tidy(paired(percent)), SECOND))
     pairs = shared.write(second.where("kind = 0").select("a", "b").distinct())
     links = shared.write(verified(pairs, nodes, keyed, k, percent, seed, shared))
     labels = shared.write(components(links, shared))

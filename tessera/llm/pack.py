@@ -321,7 +321,7 @@ def _cells(cells: DataFrame, capacity: int, islands: int, epochs: int, children:
     """(cell, members) with members an array of pieces, to (cell, members, flat): the best packing of any island."""
     state = cells.select("cell", F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"), F.transform("members", lambda m: m["length"].cast("int")).alias("lengths"), F.expr("cast(array() as array<array<int>>)").alias("elites"))
     for epoch in range(epochs):
-        state = state.repartition(tasks, "cell", "island").mapInArrow(_islands(capacity, epoch, children), ISLAND)
+        state = state.repartition(tasks, "cell", "island").mapInArrow(common.tidy(_islands(capacity, epoch, children)), ISLAND)
         if epoch + 1 < epochs:  # each island keeps its best and gets the best of the one before it
             moved = state.select("cell", ((F.col("island") + 1) % islands).alias("island"), F.col("elites")[0].alias("guest"))
             state = state.join(moved, ["cell", "island"]).select("cell", "island", "lengths", F.array_distinct(F.concat("elites", F.array("guest"))).alias("elites"))
@@ -333,7 +333,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset)."""
     spark = docs.sparkSession
     shared = common.Shared(spark)
-    pieces = shared.write(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cutter(tokenizer, sequence), PIECES), keep=True)
+    pieces = shared.write(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(common.tidy(cutter(tokenizer, sequence)), PIECES), keep=True)
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     whole = pieces.where(F.col("length") == sequence).select(*columns, (-(F.col("task").cast("long") * (1 << 36) + F.col("nth") + 1)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     parts, level = [whole], 0

@@ -382,7 +382,7 @@ def _report(p: dict[str, np.ndarray]):
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of OUT for each document."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_report(weights()), OUT)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(common.tidy(_report(weights())), OUT)
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -411,5 +411,5 @@ def _mask(p: dict[str, np.ndarray], at: int):
 
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with personal data replaced by the name of its kind; `n_chars`, if there, is counted anew."""
-    out = docs.mapInArrow(_mask(weights(), docs.columns.index(text)), docs.schema)
+    out = docs.mapInArrow(common.tidy(_mask(weights(), docs.columns.index(text))), docs.schema)
     return out.withColumn("n_chars", F.when(F.col(text).isNull(), F.col("n_chars")).otherwise(F.char_length(text)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -107,7 +107,7 @@ def _counted(names: list[str]):
 def with_statistics(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """The columns to keep, and the statistics of the text."""
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", " + ", ".join(f"{s} double" for s in STATISTICS)
-    return docs.select(F.col(text).cast("string").alias("_text"), *keep).mapInArrow(_counted(keep), fields)
+    return docs.select(F.col(text).cast("string").alias("_text"), *keep).mapInArrow(common.tidy(_counted(keep)), fields)
 
 
 # --- learning --------------------------------------------------------------------------------------------------------

@@ -200,13 +200,13 @@ def apply(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
     source = docs.select(F.col(text).cast("string").alias("_text"), key.alias("_key"), F.col(doc_id).alias("_doc"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
     size = source.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET_BYTES))
-    packed = source.select(F.col("_doc").cast("long"), "_key", "_text").mapInArrow(scattered(buckets), "bucket int, data binary")
-    late = common.scatter(packed, buckets).mapInArrow(_judged, "key long, nths array<int>")
+    packed = source.select(F.col("_doc").cast("long"), "_key", "_text").mapInArrow(common.tidy(scattered(buckets)), "bucket int, data binary")
+    late = common.scatter(packed, buckets).mapInArrow(common.tidy(_judged), "key long, nths array<int>")
     late = late.groupBy("key").agg(F.collect_list("nths").alias("nths"))  # of one document: at most its units
     joined = source.join(late, source["_key"] == late["key"], "left").select("_text", "nths", "_doc", *[f"_keep_{c}" for c in keep])
     rest = [docs.schema[doc_id], *[docs.schema[c] for c in keep]]
     schema = OUT + ", " + ", ".join(f"`{'doc_id' if i == 0 else f.name}` {f.dataType.simpleString()}" for i, f in enumerate(rest))
-    out = joined.mapInArrow(_cut(["doc_id", *keep], min_words), schema)
+    out = joined.mapInArrow(common.tidy(_cut(["doc_id", *keep], min_words)), schema)
     return out.select("doc_id", "text", "n_units", "n_removed", "removed", *keep)
 
 
