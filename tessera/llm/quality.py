@@ -223,6 +223,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     """The documents that the rules accept, all columns kept, whatever their names."""
     names = [f"_c{i}" for i in range(len(docs.columns))]
     at = dict(zip(docs.columns, names, strict=True))
-    stats = with_statistics(docs.toDF(*names), at[text], names)
+    # read three times: to count and choose the sample, and to judge
+    stats = common.Shared(docs.sparkSession).write(with_statistics(docs.toDF(*names), at[text], names), keep=True)
     value = compiled(*trained(stats.select(F.col(at[doc_id]).alias("doc_id"), *STATISTICS), labels))
     return stats.where(value >= 0.5).select(*[F.col(n).alias(c) for c, n in at.items()])
