@@ -2,8 +2,9 @@
 
 A unit is a sentence within a line: it ends at a line break, or at a word that ends in `.`, `!` or `?`. Case (A-Z) and white
 space are normalised, digests (96 bits) are grouped over all documents, and the occurrence of the lowest rank (document id,
-then place) is kept. Of the others, those in runs of neighbouring units with enough words in all are removed; offsets are
-those of the original text, in code points.
+then place) is kept. Of the others, those of whole lines are removed, however short (a line goes if all its units are
+later occurrences), and those in runs of neighbouring units with enough words in all; offsets are those of the original
+text, in code points.
 
 Units travel in packed columns. A task sends only its earliest occurrence of a digest to the digest's bucket: the others
 are settled already and go to buckets by their document, so a line that a third of all documents share costs its bucket one
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-#: Words that a run of repeated units must have to be removed.
+#: Words that a run of repeated units must have to be removed, unless it is a whole line.
 MIN_WORDS = 10
 #: Bytes of text for each bucket, about; units that a task holds before it packs them.
 BUCKET_BYTES, HELD = 64 << 20, 1_000_000
@@ -37,7 +38,7 @@ _A, _B = np.uint64(0x9E6C63D0876A3F6B), np.uint64(0xD1342543DE82EF95)
 
 
 class Units:
-    """The units of a step of rows: row, place among the row's units, first and last byte, words, digests."""
+    """The units of a step of rows: row, place among the row's units, line, first and last byte, words, digests."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         starts, ends, first = common.word_spans(data, offsets, common.SOLID_BYTES)
@@ -45,7 +46,7 @@ class Units:
         self.count = np.zeros(rows, np.int64)
         n = len(starts)
         if not n:
-            self.row = self.nth = self.start = self.end = self.words = np.zeros(0, np.int64)
+            self.row = self.nth = self.line = self.start = self.end = self.words = np.zeros(0, np.int64)
             self.digest, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
             return
         row = np.repeat(np.arange(rows), np.diff(first))
@@ -55,7 +56,7 @@ class Units:
         end = np.flatnonzero(last)
         begin = np.concatenate(([0], end[:-1] + 1))
         self.row, self.words = row[begin], end - begin + 1
-        self.start, self.end = starts[begin], ends[end]
+        self.start, self.end, self.line = starts[begin], ends[end], breaks[starts[begin]]
         np.add.at(self.count, self.row, 1)
         self.nth = np.arange(len(begin)) - (np.cumsum(self.count) - self.count)[self.row]
         hashes = common.span_hashes(_LOWER[data], starts, ends)
@@ -154,6 +155,22 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key[cut]), pa.ListArray.from_arrays(pa.array(np.append(cut, len(key)).astype(np.int32)), pa.array(nth))], ["key", "nths"])
 
 
+def _runs(marked: np.ndarray) -> list[tuple[int, int]]:
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], marked.view(np.int8), [0]))))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+
+
+def _gone(marked: np.ndarray, words: np.ndarray, line: np.ndarray, min_words: int) -> list[tuple[int, int]]:
+    """Runs of a row's units to remove: of the marked ones, whole lines and runs of enough words."""
+    if not marked.any():
+        return []
+    head = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+    goes = np.repeat(np.logical_and.reduceat(marked, head), np.diff(np.append(head, len(line))))
+    for x, y in _runs(marked):
+        goes[x:y] |= words[x:y].sum() >= min_words
+    return _runs(goes)
+
+
 OUT = "text string, n_units long, n_removed long, removed string"
 
 
@@ -175,8 +192,8 @@ def _cut(names: list[str], min_words: int):
                     if nths[a + i]:
                         marked[np.concatenate([np.asarray(x, np.int64) for x in nths[a + i]])] = True
                     low = int(first[i])
-                    edges = np.flatnonzero(np.diff(np.concatenate(([0], marked.view(np.int8), [0]))))
-                    runs = [(x, y) for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if u.words[low + x : low + y].sum() >= min_words]
+                    own_units = slice(low, low + len(marked))
+                    runs = _gone(marked, u.words[own_units], u.line[own_units], min_words)
                     base = int(point[own[i]])
                     spans.append(",".join(f"{point[u.start[low + j]] - base}:{point[u.end[low + j]] - base}" for x, y in runs for j in range(x, y)))
                     n_units.append(int(u.count[i]))
@@ -215,7 +232,7 @@ def brute_force(rows: list[tuple[int, str | None]], min_words: int = MIN_WORDS)
     import re
 
     seen: dict[str, tuple[int, int]] = {}
-    units: dict[int, list[tuple[int, int, str, int]]] = {}
+    units: dict[int, list[tuple[int, int, str, int, int]]] = {}
     for doc_id, text in sorted(rows, key=lambda r: r[0]):
         own = []
         for line in re.finditer(r"[^\n]+", text or ""):
@@ -226,19 +243,28 @@ def brute_force(rows: list[tuple[int, str | None]], min_words: int = MIN_WORDS)
                 if w[2][-1] in ".!?" or i + 1 == len(words):
                     norm = " ".join("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x[2]) for x in now)
                     seen.setdefault(norm, (doc_id, len(own)))
-                    own.append((now[0][0], now[-1][1], norm, len(now)))
+                    own.append((now[0][0], now[-1][1], norm, len(now), line.start()))
                     now = []
         units[doc_id] = own
     out = []
     for doc_id, text in rows:
         own = units[doc_id]
         late = [seen[u[2]] != (doc_id, i) for i, u in enumerate(own)]
-        spans, cuts, i = [], [], 0
+        stays = {u[4] for u, x in zip(own, late, strict=True) if not x}  # lines that do not repeat as a whole
+        gone, i = [u[4] not in stays for u in own], 0
         while i < len(own):
             j = i
             while j < len(own) and late[j]:
                 j += 1
-            if j > i and sum(u[3] for u in own[i:j]) >= min_words:
+            if sum(u[3] for u in own[i:j]) >= min_words:
+                gone[i:j] = [True] * (j - i)
+            i = max(j, i + 1)
+        spans, cuts, i = [], [], 0
+        while i < len(own):
+            j = i
+            while j < len(own) and gone[j]:
+                j += 1
+            if j > i:
                 spans += own[i:j]
                 cuts.append((own[i][0], own[j][0] if j < len(own) else len(text)))
             i = max(j, i + 1)

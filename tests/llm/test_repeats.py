@@ -43,3 +43,13 @@ def test_a_long_passage_goes_everywhere_but_once(spark):
 def test_whole_table(spark, sf):
     rows = [(r.doc_id, r.text) for r in common.table(spark, sf, "documents").collect()]
     check(queries.QUERIES["op9_repeats"](spark, sf).collect(), rows)
+
+
+def test_short_lines_go_everywhere_but_once(spark):
+    rows = [(i, f"own words {i} here\nRead more\nnext {i}\nShare this. Now.") for i in range(20)] + [(20, "start 20. Read more\nend 20"), (21, "Read   MORE")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r for r in repeats.apply(docs).collect()}
+    assert found[0].text == rows[0][1] and found[21].text == ""
+    assert all(found[i].text == f"own words {i} here\nnext {i}\n" and found[i].n_removed == 3 for i in range(1, 20))
+    assert found[20].text == rows[20][1]  # two words within a line
+    check(list(found.values()), rows)
