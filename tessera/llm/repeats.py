@@ -1,10 +1,12 @@
-"""Substring dedup by hashing the sentences of lines.
+"""Substring dedup by hashing the sentences of lines, and stretches of words whatever their punctuation.
 
-A unit is a sentence within a line: it ends at a line break, or at a word that ends in `.`, `!` or `?`. Case (A-Z) and white
-space are normalised, digests (96 bits) are grouped over all documents, and the occurrence of the lowest rank (document id,
-then place) is kept. Of the others, those of whole lines are removed, however short (a line goes if all its units are
-later occurrences), and those in runs of neighbouring units with enough words in all; offsets are those of the original
-text, in code points.
+A sentence ends at a line break, or at a word that ends in `.`, `!` or `?`. A stretch is CHUNKS neighbouring chunks of the
+document's words; a chunk ends at a word whose hash is the least of the NEAR words on either side, so a passage is cut at
+the same words wherever it stands, and only words before its first cut and after its last are beyond its stretches.
+
+Case (A-Z) and white space are normalised, digests (96 bits) of these units are grouped over all documents, and the
+occurrence of the lowest rank (document id, then place) is kept. The words of the others are removed where they make up a
+whole line, however short, or a run of enough words; offsets are those of the original text, in code points.
 
 Units travel in packed columns. A task sends only its earliest occurrence of a digest to the digest's bucket: the others
 are settled already and go to buckets by their document, so a line that a third of all documents share costs its bucket one
@@ -29,6 +31,9 @@ from tessera.llm import common
 
 #: Words that a run of repeated units must have to be removed, unless it is a whole line.
 MIN_WORDS = 10
+#: Chunks of a stretch, and words on either side that the end of a chunk is the least of: 11 words a stretch
+#: at least, where words do not repeat at once.
+CHUNKS, NEAR = 4, 2
 #: Bytes of text for each bucket, about; units that a task holds before it packs them.
 BUCKET_BYTES, HELD = 64 << 20, 1_000_000
 
@@ -38,30 +43,52 @@ _A, _B = np.uint64(0x9E6C63D0876A3F6B), np.uint64(0xD1342543DE82EF95)
 
 
 class Units:
-    """The units of a step of rows: row, place among the row's units, line, first and last byte, words, digests."""
+    """The units of a step of rows, sentences before stretches: row, place among the row's units, first and last word,
+    digests. Of the words: row, line, sentence, first and last byte."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         starts, ends, first = common.word_spans(data, offsets, common.SOLID_BYTES)
         rows = len(offsets) - 1
-        self.count = np.zeros(rows, np.int64)
+        self.start, self.end = starts, ends
         n = len(starts)
+        self.word_row = row = np.repeat(np.arange(rows), np.diff(first))
         if not n:
-            self.row = self.nth = self.line = self.start = self.end = self.words = np.zeros(0, np.int64)
+            self.count = self.first = self.later = np.zeros(rows, np.int64)
+            self.line = self.sentence = self.row = self.nth = self.begin = self.last = np.zeros(0, np.int64)
             self.digest, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
             return
-        row = np.repeat(np.arange(rows), np.diff(first))
         breaks = np.concatenate(([0], np.cumsum(data == 10)))
+        self.line = breaks[starts]
         last = np.ones(n, bool)
-        last[:-1] = (row[1:] != row[:-1]) | _STOPS[data[ends[:-1] - 1]] | (breaks[starts[1:]] > breaks[ends[:-1]])
+        last[:-1] = (row[1:] != row[:-1]) | _STOPS[data[ends[:-1] - 1]] | (self.line[1:] > self.line[:-1])
         end = np.flatnonzero(last)
         begin = np.concatenate(([0], end[:-1] + 1))
-        self.row, self.words = row[begin], end - begin + 1
-        self.start, self.end, self.line = starts[begin], ends[end], breaks[starts[begin]]
-        np.add.at(self.count, self.row, 1)
-        self.nth = np.arange(len(begin)) - (np.cumsum(self.count) - self.count)[self.row]
+        self.sentence = np.repeat(np.arange(len(end)), end - begin + 1)
+        self.count = np.bincount(row[begin], minlength=rows)
         hashes = common.span_hashes(_LOWER[data], starts, ends)
-        self.digest = self._sums(hashes, begin, end, _A)
-        self.check = (self._sums(hashes, begin, end, _B) >> np.uint64(32)).astype(np.uint32)
+        chunk_end = np.flatnonzero(_chunk_ends(hashes, row))
+        chunk = np.concatenate(([0], chunk_end[:-1] + 1))
+        long = np.flatnonzero(row[chunk[: len(chunk) - CHUNKS + 1]] == row[chunk_end[CHUNKS - 1 :]]) if len(chunk) >= CHUNKS else np.zeros(0, np.int64)
+        many = np.bincount(row[chunk[long]], minlength=rows)
+        self.first, self.later = np.cumsum(self.count) - self.count, len(begin) + np.cumsum(many) - many
+        self.begin, self.last = np.concatenate((begin, chunk[long])), np.concatenate((end, chunk_end[long + CHUNKS - 1]))
+        self.row = row[self.begin]
+        self.nth = np.arange(len(self.row)) - self.first[self.row]
+        self.nth[len(begin) :] += (self.first + self.count - self.later)[self.row[len(begin) :]]
+        digests = [np.concatenate((self._sums(hashes, begin, end, x), self._chained(self._sums(hashes, chunk, chunk_end, x), long, x))) for x in (_A, _B)]
+        self.digest, self.check = digests[0], (digests[1] >> np.uint64(32)).astype(np.uint32)
+
+    def at(self, row: int, nths: np.ndarray) -> np.ndarray:
+        """Indexes of the units of these places among a row's."""
+        return np.where(nths < self.count[row], self.first[row] + nths, self.later[row] + nths - self.count[row])
+
+    @staticmethod
+    def _chained(chunks: np.ndarray, at: np.ndarray, base: np.uint64) -> np.ndarray:
+        """Hashes of the stretches from these chunks on, unlike those of sentences of the same words."""
+        total = np.full(len(at), base, np.uint64)
+        for k in range(CHUNKS):
+            total = common.mix((total ^ chunks[at + k]) + base)
+        return total
 
     @staticmethod
     def _sums(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, base: np.uint64) -> np.ndarray:
@@ -72,6 +99,29 @@ class Units:
         return common.mix(total[end + 1] - total[begin])
 
 
+def _chunk_ends(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Which words end a chunk: the last of a row, those of the least hash among NEAR words before and after (of equal
+    ones the last, so no two are within NEAR words), and where each word is that of one or two before, which has no such
+    least word, every fourth."""
+    n = len(hashes)
+    least = np.zeros(n, bool)
+    if n > 2 * NEAR:
+        own = hashes[NEAR : n - NEAR]
+        inner = row[: n - 2 * NEAR] == row[2 * NEAR :]
+        for k in range(1, NEAR + 1):
+            inner &= (own <= hashes[NEAR - k : n - NEAR - k]) & (own < hashes[NEAR + k : n - NEAR + k])
+        least[NEAR : n - NEAR] = inner
+    again = np.zeros(n, bool)
+    for k in range(1, NEAR + 1):
+        again[k:] |= (hashes[k:] == hashes[:-k]) & (row[k:] == row[:-k])
+    head = again & np.concatenate(([True], ~again[:-1] | (row[1:] != row[:-1])))[:n]
+    place = np.arange(n) - np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    least = np.where(again, place % 4 == 3, least)
+    least[:-1] |= row[1:] != row[:-1]
+    least[-1:] = True
+    return least
+
+
 def _pack(settled: tuple[np.ndarray, np.ndarray], digest: np.ndarray, check: np.ndarray, doc: np.ndarray, key: np.ndarray, nth: np.ndarray) -> bytes:
     parts = [np.array([len(digest), len(settled[0])], np.int64), digest, doc, key, check, nth.astype(np.uint32), settled[0], settled[1].astype(np.uint32)]
     return zlib.compress(b"".join(x.tobytes() for x in parts), 1)
@@ -102,7 +152,7 @@ def scattered(buckets: int):
             same = np.concatenate(([False], (doc[1:] == doc[:-1]) & (key[1:] == key[:-1]) & (nth[1:] == nth[:-1]))) & again
             late, early = again & ~same, ~again
             late_key, late_nth = key[late], nth[late]
-            to = ((late_key.view(np.uint64) >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
+            to = _home(late_key, buckets)
             bucket = ((digest[early] >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
             digest, check, doc, key, nth = digest[early], check[early], doc[early], key[early], nth[early]
             by, late_by = np.argsort(bucket, kind="stable"), np.argsort(to, kind="stable")
@@ -133,42 +183,77 @@ def scattered(buckets: int):
     return run
 
 
-def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed buckets to (key, nths): the units that are not the earliest of their digest, by document."""
-    held: dict[int, list[list[np.ndarray]]] = {}
+def _home(key: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a document."""
+    return ((key.view(np.uint64) >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
+
+
+def judged(buckets: int):
+    """Packed buckets to packed units (bucket, data) that are not the earliest of their digest, by document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[list[np.ndarray]]] = {}
+        for batch in batches:
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held.setdefault(bucket, []).append(_unpack(data.as_py()))
+        for bucket in list(held):
+            digest, doc, key, check, nth, late_key, late_nth = (np.concatenate(x) for x in zip(*held.pop(bucket), strict=True))
+            order = np.lexsort((nth, key, doc, check, digest))
+            digest, check, doc, key, nth = digest[order], check[order], doc[order], key[order], nth[order]
+            head = np.concatenate(([True], (digest[1:] != digest[:-1]) | (check[1:] != check[:-1])))[: len(digest)]
+            at = np.maximum.accumulate(np.where(head, np.arange(len(digest)), 0))
+            late = ~((doc == doc[at]) & (key == key[at]) & (nth == nth[at]))
+            key, nth = np.concatenate((key[late], late_key)), np.concatenate((nth[late], late_nth)).astype(np.uint32)
+            if not len(key):
+                continue
+            to = _home(key, buckets)
+            order = np.lexsort((nth, key, to))
+            key, nth, to = key[order], nth[order], to[order]
+            cut = np.append(np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))), len(to)).tolist()
+            blobs = [zlib.compress(key[a:b].tobytes() + nth[a:b].tobytes(), 1) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(to[cut[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "data"])
+
+    return run
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed units of documents to (key, nths), a row a document."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for batch in batches:
         for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            held.setdefault(bucket, []).append(_unpack(data.as_py()))
+            blob = zlib.decompress(data.as_py())
+            n = len(blob) // 12
+            held.setdefault(bucket, []).append((np.frombuffer(blob, np.int64, n), np.frombuffer(blob, np.uint32, n, 8 * n)))
     for bucket in list(held):
-        digest, doc, key, check, nth, late_key, late_nth = (np.concatenate(x) for x in zip(*held.pop(bucket), strict=True))
-        order = np.lexsort((nth, key, doc, check, digest))
-        digest, check, doc, key, nth = digest[order], check[order], doc[order], key[order], nth[order]
-        head = np.concatenate(([True], (digest[1:] != digest[:-1]) | (check[1:] != check[:-1])))[: len(digest)]
-        at = np.maximum.accumulate(np.where(head, np.arange(len(digest)), 0))
-        late = ~((doc == doc[at]) & (key == key[at]) & (nth == nth[at]))
-        key, nth = np.concatenate((key[late], late_key)), np.concatenate((nth[late], late_nth)).astype(np.int32)
-        if not len(key):
-            continue
+        key, nth = (np.concatenate(x) for x in zip(*held.pop(bucket), strict=True))
+        nth = nth.astype(np.int32)
         order = np.lexsort((nth, key))
         key, nth = key[order], nth[order]
         cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         yield pa.RecordBatch.from_arrays([pa.array(key[cut]), pa.ListArray.from_arrays(pa.array(np.append(cut, len(key)).astype(np.int32)), pa.array(nth))], ["key", "nths"])
 
 
-def _runs(marked: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], marked.view(np.int8), [0]))))
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+def _runs(marked: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last places of the runs of marked words within parts."""
+    fresh = part[1:] != part[:-1]
+    first = marked & np.concatenate(([True], fresh | ~marked[:-1]))[: len(marked)]
+    last = marked & np.concatenate((fresh | ~marked[1:], [True]))[: len(marked)]
+    return np.flatnonzero(first), np.flatnonzero(last)
 
 
-def _gone(marked: np.ndarray, words: np.ndarray, line: np.ndarray, min_words: int) -> list[tuple[int, int]]:
-    """Runs of a row's units to remove: of the marked ones, whole lines and runs of enough words."""
-    if not marked.any():
-        return []
-    head = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
-    goes = np.repeat(np.logical_and.reduceat(marked, head), np.diff(np.append(head, len(line))))
-    for x, y in _runs(marked):
-        goes[x:y] |= words[x:y].sum() >= min_words
-    return _runs(goes)
+def _gone(u: Units, late: np.ndarray, min_words: int) -> np.ndarray:
+    """Which words go: of those of the late units, whole lines and runs of enough words."""
+    n = len(u.start)
+    if not len(late):
+        return np.zeros(n, bool)
+    edges = np.bincount(u.begin[late], minlength=n + 1) - np.bincount(u.last[late] + 1, minlength=n + 1)
+    marked = np.cumsum(edges)[:n] > 0
+    head = np.flatnonzero(np.concatenate(([True], (u.line[1:] != u.line[:-1]) | (u.word_row[1:] != u.word_row[:-1]))))
+    goes = np.repeat(np.logical_and.reduceat(marked, head), np.diff(np.append(head, n)))
+    for x, y in zip(*_runs(marked, u.word_row), strict=True):
+        if y - x + 1 >= min_words:
+            goes[x : y + 1] = True
+    return goes
 
 
 OUT = "text string, n_units long, n_removed long, removed string"
@@ -186,24 +271,27 @@ def _cut(names: list[str], min_words: int):
                 part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 u = Units(part, own)
                 point = np.concatenate(([0], np.cumsum((part & 0xC0) != 0x80)))  # code points before each byte
-                first = np.cumsum(u.count) - u.count
-                for i in range(b - a):
-                    marked = np.zeros(int(u.count[i]), bool)
-                    if nths[a + i]:
-                        marked[np.concatenate([np.asarray(x, np.int64) for x in nths[a + i]])] = True
-                    low = int(first[i])
-                    own_units = slice(low, low + len(marked))
-                    runs = _gone(marked, u.words[own_units], u.line[own_units], min_words)
-                    base = int(point[own[i]])
-                    spans.append(",".join(f"{point[u.start[low + j]] - base}:{point[u.end[low + j]] - base}" for x, y in runs for j in range(x, y)))
-                    n_units.append(int(u.count[i]))
-                    n_removed.append(sum(y - x for x, y in runs))
-                    if runs:  # with the white space up to the next unit
-                        raw, out, end = part[own[i] : own[i + 1]].tobytes(), [], 0
-                        for x, y in runs:
-                            out.append(raw[end : int(u.start[low + x] - own[i])])
-                            end = int(u.start[low + y] - own[i]) if y < len(marked) else len(raw)
-                        texts[a + i] = b"".join([*out, raw[end:]]).decode("utf-8", "replace")
+                late = [u.at(i, np.asarray(nths[a + i], np.int64)) for i in range(b - a) if nths[a + i]]
+                goes = _gone(u, np.concatenate(late) if late else np.zeros(0, np.int64), min_words)
+                x, y = _runs(goes, u.sentence)
+                base = point[own[u.word_row[x]]]
+                pieces: dict[int, list[str]] = {}
+                for i, from_, to in zip(u.word_row[x].tolist(), (point[u.start[x]] - base).tolist(), (point[u.end[y]] - base).tolist(), strict=True):
+                    pieces.setdefault(i, []).append(f"{from_}:{to}")
+                n_units += u.count.tolist()
+                n_removed += [len(pieces.get(i, ())) for i in range(b - a)]
+                spans += [",".join(pieces.get(i, ())) for i in range(b - a)]
+                x, y = _runs(goes, u.word_row)
+                kept: dict[int, list[tuple[int, int]]] = {}
+                for i, from_, last in zip(u.word_row[x].tolist(), u.start[x].tolist(), y.tolist(), strict=True):  # with the white space up to the next word
+                    more = last + 1 < len(u.start) and u.word_row[last + 1] == i
+                    kept.setdefault(i, []).append((from_, int(u.start[last + 1] if more else own[i + 1])))
+                for i, cuts in kept.items():
+                    raw, out, end = part[own[i] : own[i + 1]].tobytes(), [], 0
+                    for from_, to in cuts:
+                        out.append(raw[end : from_ - int(own[i])])
+                        end = to - int(own[i])
+                    texts[a + i] = b"".join([*out, raw[end:]]).decode("utf-8", "replace")
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(n_units, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.string()), *batch.columns[2:]], ["text", "n_units", "n_removed", "removed", *names])
 
     return run
@@ -211,15 +299,16 @@ def _cut(names: list[str], min_words: int):
 
 def apply(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (doc_id, text without repeats, n_units, n_removed, removed), and the columns to keep under their names.
-    removed: start:end of each removed unit in the original text."""
+    n_units: sentences; removed: start:end of each removed sentence, or removed piece of one, in the original text;
+    n_removed: their number."""
     spark = docs.sparkSession
     key = F.xxhash64(F.col(doc_id), F.col(text))
     source = docs.select(F.col(text).cast("string").alias("_text"), key.alias("_key"), F.col(doc_id).alias("_doc"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
     size = source.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET_BYTES))
     packed = source.select(F.col("_doc").cast("long"), "_key", "_text").mapInArrow(common.tidy(scattered(buckets)), "bucket int, data binary")
-    late = common.scatter(packed, buckets).mapInArrow(common.tidy(_judged), "key long, nths array<int>")
-    late = late.groupBy("key").agg(F.collect_list("nths").alias("nths"))  # of one document: at most its units
+    late = common.scatter(packed, buckets).mapInArrow(common.tidy(judged(buckets)), "bucket int, data binary")
+    late = common.scatter(late, buckets).mapInArrow(common.tidy(_gathered), "key long, nths array<int>")  # of one document: at most its units
     joined = source.join(late, source["_key"] == late["key"], "left").select("_text", "nths", "_doc", *[f"_keep_{c}" for c in keep])
     rest = [docs.schema[doc_id], *[docs.schema[c] for c in keep]]
     schema = OUT + ", " + ", ".join(f"`{'doc_id' if i == 0 else f.name}` {f.dataType.simpleString()}" for i, f in enumerate(rest))
@@ -231,45 +320,67 @@ def brute_force(rows: list[tuple[int, str | None]], min_words: int = MIN_WORDS)
     """apply() by a dictionary, for tests; rows of distinct ids."""
     import re
 
-    seen: dict[str, tuple[int, int]] = {}
-    units: dict[int, list[tuple[int, int, str, int, int]]] = {}
+    seen: dict[tuple[str, ...], tuple[int, int]] = {}
+    places: dict[int, list[tuple[int, int, str, int, int]]] = {}  # words: start, end, normalised, line, sentence
+    units: dict[int, list[tuple[int, int, tuple[str, ...]]]] = {}  # first word, behind the last, key
     for doc_id, text in sorted(rows, key=lambda r: r[0]):
-        own = []
+        words: list[tuple[int, int, str, int, int]] = []
+        sentence = 0
         for line in re.finditer(r"[^\n]+", text or ""):
-            words = [(m.start() + line.start(), m.end() + line.start(), m[0]) for m in re.finditer(r"[^\x20\x09-\x0D]+", line[0])]
-            now: list[tuple[int, int, str]] = []
-            for i, w in enumerate(words):
-                now.append(w)
-                if w[2][-1] in ".!?" or i + 1 == len(words):
-                    norm = " ".join("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x[2]) for x in now)
-                    seen.setdefault(norm, (doc_id, len(own)))
-                    own.append((now[0][0], now[-1][1], norm, len(now), line.start()))
-                    now = []
-        units[doc_id] = own
+            for m in re.finditer(r"[^\x20\x09-\x0D]+", line[0]):
+                words.append((m.start() + line.start(), m.end() + line.start(), "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in m[0]), line.start(), sentence))
+                sentence += m[0][-1] in ".!?"
+            sentence += bool(words and words[-1][4] == sentence)
+        own, i = [], 0
+        while i < len(words):
+            j = i
+            while j < len(words) and words[j][4] == words[i][4]:
+                j += 1
+            own.append((i, j, ("sentence", *[w[2] for w in words[i:j]])))
+            i = j
+        raw = [w[2].encode() for w in words]
+        ends = np.cumsum([len(x) for x in raw], dtype=np.int64)
+        order = common.span_hashes(np.frombuffer(b"".join(raw), np.uint8), ends - [len(x) for x in raw], ends).tolist() if raw else []
+        cut, run = [0], 0
+        for i in range(len(order) - 1):
+            run = run + 1 if order[i] in order[max(i - NEAR, 0) : i] else 0
+            if run and run % 4 == 0 or not run and NEAR <= i < len(order) - NEAR and order[i] <= min(order[i - NEAR : i]) and order[i] < min(order[i + 1 : i + 1 + NEAR]):
+                cut.append(i + 1)
+        cut += [len(order)] if order else []
+        chunks = [" ".join(w[2] for w in words[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+        own += [(cut[i], cut[i + CHUNKS], ("stretch", *chunks[i : i + CHUNKS])) for i in range(len(chunks) - CHUNKS + 1)]
+        for i, u in enumerate(own):
+            seen.setdefault(u[2], (doc_id, i))
+        places[doc_id], units[doc_id] = words, own
     out = []
     for doc_id, text in rows:
-        own = units[doc_id]
-        late = [seen[u[2]] != (doc_id, i) for i, u in enumerate(own)]
-        stays = {u[4] for u, x in zip(own, late, strict=True) if not x}  # lines that do not repeat as a whole
-        gone, i = [u[4] not in stays for u in own], 0
-        while i < len(own):
+        words = places[doc_id]
+        late = [False] * len(words)
+        for i, (a, b, key) in enumerate(units[doc_id]):
+            if seen[key] != (doc_id, i):
+                late[a:b] = [True] * (b - a)
+        stays = {w[3] for w, x in zip(words, late, strict=True) if not x}  # lines that do not repeat as a whole
+        gone, i = [w[3] not in stays for w in words], 0
+        while i < len(words):
             j = i
-            while j < len(own) and late[j]:
+            while j < len(words) and late[j]:
                 j += 1
-            if sum(u[3] for u in own[i:j]) >= min_words:
+            if j - i >= min_words:
                 gone[i:j] = [True] * (j - i)
             i = max(j, i + 1)
         spans, cuts, i = [], [], 0
-        while i < len(own):
+        while i < len(words):
             j = i
-            while j < len(own) and gone[j]:
+            while j < len(words) and gone[j]:
                 j += 1
             if j > i:
-                spans += own[i:j]
-                cuts.append((own[i][0], own[j][0] if j < len(own) else len(text)))
+                for sentence in sorted({w[4] for w in words[i:j]}):
+                    piece = [w for w in words[i:j] if w[4] == sentence]
+                    spans.append((piece[0][0], piece[-1][1]))
+                cuts.append((words[i][0], words[j][0] if j < len(words) else len(text)))
             i = max(j, i + 1)
         kept = text
         for a, b in reversed(cuts):
             kept = kept[:a] + kept[b:]
-        out.append((doc_id, kept, len(own), len(spans), ",".join(f"{u[0]}:{u[1]}" for u in spans)))
+        out.append((doc_id, kept, len({w[4] for w in words}), len(spans), ",".join(f"{a}:{b}" for a, b in spans)))
     return out

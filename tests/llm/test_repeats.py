@@ -53,3 +53,25 @@ def test_short_lines_go_everywhere_but_once(spark):
     assert all(found[i].text == f"own words {i} here\nnext {i}\n" and found[i].n_removed == 3 for i in range(1, 20))
     assert found[20].text == rows[20][1]  # two words within a line
     check(list(found.values()), rows)
+
+
+def test_passages_without_stops_in_mid_sentence(spark):
+    rng = random.Random(5)
+    passages = [" ".join(f"q{rng.randrange(400)}" for _ in range(51)) for _ in range(40)]
+    fresh = lambda i, n: " ".join(f"u{i}x{n}y{k}" for k in range(9))
+    rows = [(i, f"{fresh(i, 0)} {passages[i % 40]} {fresh(i, 1)}") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r for r in repeats.apply(docs).collect()}
+    assert all(found[i].text == rows[i][1] for i in range(40))
+    left = [len([w for w in found[i].text.split() if w[0] == "q"]) for i in range(40, 120)]
+    assert max(left) < 26 and sum(left) < 15 * len(left)  # mostly gone, each of them
+    assert all(fresh(i, 0) in found[i].text and fresh(i, 1) in found[i].text for i in range(120))
+    check(list(found.values()), rows)
+
+
+def test_passages_of_words_that_repeat_at_once(spark):
+    rows = [(i, f"start {i} here " + ("the " if i % 2 else "to and ") * (60 + i) + f"end {i} here") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = repeats.apply(docs).collect()
+    assert all(len(r.text.split()) < 20 and f"start {r.doc_id} here" in r.text and f"end {r.doc_id} here" in r.text for r in found if r.doc_id > 5)
+    check(found, rows)
