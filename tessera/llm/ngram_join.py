@@ -302,7 +302,9 @@ def row_key(doc_id: str, text: str) -> Column:
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT, hot: int = HOT, bucket_entries: int = BUCKET_ENTRIES, seed: int = 0) -> DataFrame:
-    """Rows (doc_id, row_key, n_shingles, component_id), one a document; row_key is a hash of id and text."""
+    """Rows (doc_id, row_key, n_shingles, component_id, component), one a document; row_key is a hash of id and text.
+    component_id is the smallest doc_id of the component, which others may share where ids are null or repeat; component
+    is its own smallest node, null without shingles."""
     spark: SparkSession = docs.sparkSession
     shared = common.Shared(spark)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -334,10 +336,10 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = W
         labels = shared.write(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more), shared))
     smallest = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = smallest.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = shared.write(smallest.join(ids, "label").select("node", "component_id"), keep=True)
+    named = shared.write(smallest.join(ids, "label").select("node", "component_id", F.col("label").alias("component")), keep=True)
     shared.drop()
     counts.unpersist()
-    return first.where("kind = 0").select("doc_id", "row_key", F.col("n").alias("n_shingles"), "node").join(named, "node", "left").select("doc_id", "row_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return first.where("kind = 0").select("doc_id", "row_key", F.col("n").alias("n_shingles"), "node").join(named, "node", "left").select("doc_id", "row_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("component")).alias("component"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -348,7 +350,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     key = "_key"
     while key in docs.columns:
         key += "_"
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("row_key").alias(key), F.count("*").alias("n"))
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("row_key").alias(key), F.count("*").alias("n"))
     kept = shared.write(kept.select(key, "n"), keep=True)
     most = kept.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
     has_words = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))

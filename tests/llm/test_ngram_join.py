@@ -70,6 +70,13 @@ def test_one_of_each(spark):
     assert out == [(5, "p q r s t u"), (8, "nothing like it in here"), (9, ""), (9, ""), (10, "")]
 
 
+def test_one_of_each_keeps_unrelated_texts_of_null_and_repeated_ids(spark):
+    rows = [(1, "p q r s t u"), (1, "other words are here now"), (None, "a text without an id"), (None, "one more of those texts"), (None, "One more of those texts"), (None, "p q r s t u"), (3, "OTHER words are here now")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((r.doc_id or 0, r.text.lower()) for r in J.one_of_each(docs).collect())
+    assert out == [(0, "a text without an id"), (0, "one more of those texts"), (1, "other words are here now"), (1, "p q r s t u")]
+
+
 def test_components_of_a_long_path(spark):
     from tessera.llm.common import Shared
 
