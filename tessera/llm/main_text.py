@@ -3,8 +3,9 @@
 A page is read as blocks of visible text in page order; what markup names as menu, header, footer, sidebar, notice, advert,
 form or reader comments is no candidate. If the page marks an article (or main part), its blocks are the text and the rest
 goes. Blocks of other pages are undecided: the token streams of a host's undecided blocks are concatenated, a suffix array
-finds the long substrings that repeat across distinct pages, tokens they cover are boilerplate, and a block whose tokens
-are mostly unique stays whole.
+finds the long substrings that repeat across distinct pages, over the edges of blocks too, and tokens they cover are
+boilerplate: those runs of a block go that are long or the whole block, and its other tokens stay. A few words at the edge
+of a block that only continue the block beside it stay.
 
 Inside a marked article the suffix array decides nothing: pages of one host repeat whole articles and paragraphs, and
 those are text, not boilerplate.
@@ -28,8 +29,6 @@ from tessera.llm import common
 
 #: Tokens that a repeated substring must have, and distinct pages it must stand on.
 REPEAT_TOKENS, REPEAT_PAGES = 6, 3
-#: A block is boilerplate if repeats cover more than this share of its tokens.
-COVERED = 0.5
 #: Tokens of a host that one suffix array holds; the suffixes of a larger host are dealt by their first tokens.
 HOST_TOKENS = 1_000_000
 
@@ -156,22 +155,18 @@ def suffixes(codes: np.ndarray) -> np.ndarray:
     return order
 
 
-def repeated(pages: list[list[str]], keys: list[int] | None = None, least: int = REPEAT_TOKENS, distinct: int = REPEAT_PAGES) -> list[list[float]]:
-    """For each block of each page the share of its tokens that repeated substrings cover. Rows of equal key are one page."""
+def covered(pages: list[list[str]], keys: list[int] | None = None, least: int = REPEAT_TOKENS, distinct: int = REPEAT_PAGES) -> list[list[np.ndarray]]:
+    """For each block of each page which of its tokens repeated substrings cover. Rows of equal key are one page."""
     number: dict[int, int] = {}
     words: dict[str, int] = {}
-    codes, owner, block = [], [], []
-    n = 0
+    codes, owner = [], []
     for i, page in enumerate(pages):
-        for text in page:
-            own = [words.setdefault(w, len(words)) for w in text.split(" ")]
-            codes += [*own, -1 - n]
-            owner += [i if keys is None else number.setdefault(keys[i], len(number))] * (len(own) + 1)
-            block += [n] * (len(own) + 1)
-            n += 1
+        own = [words.setdefault(w, len(words)) for text in page for w in text.split(" ")]
+        codes += [*own, -1 - i]
+        owner += [i if keys is None else number.setdefault(keys[i], len(number))] * (len(own) + 1)
     if not codes:
         return [[] for _ in pages]
-    c, who, which = np.array(codes), np.array(owner), np.array(block)
+    c, who = np.array(codes), np.array(owner)
     order = suffixes(c)
     m = len(c)
     # which neighbours in the suffix array share `least` tokens (no separator is among shared ones)
@@ -187,31 +182,67 @@ def repeated(pages: list[list[str]], keys: list[int] | None = None, least: int =
     cover = np.zeros(m + least + 1, np.int64)
     np.add.at(cover, starts, 1)
     np.add.at(cover, starts + least, -1)
-    covered = (np.cumsum(cover)[:m] > 0) & (c >= 0)
-    total, hit = np.bincount(which, minlength=n) - 1, np.bincount(which, weights=covered, minlength=n)
-    share = iter((hit / np.maximum(total, 1)).tolist())
-    return [[next(share) for _ in page] for page in pages]
+    mask, at, out = (np.cumsum(cover)[:m] > 0) & (c >= 0), 0, []
+    for page in pages:
+        out.append([])
+        for text in page:
+            n = text.count(" ") + 1
+            out[-1].append(mask[at : at + n])
+            at += n
+        at += 1  # the separator
+    return out
+
+
+def repeated(pages: list[list[str]], keys: list[int] | None = None, least: int = REPEAT_TOKENS, distinct: int = REPEAT_PAGES) -> list[list[float]]:
+    """For each block of each page the share of its tokens that repeated substrings cover."""
+    return [[float(x.mean()) for x in own] for own in covered(pages, keys, least, distinct)]
+
+
+def uncovered(blocks: list[str], masks: list[np.ndarray]) -> list[str]:
+    """The blocks without their covered runs that are long or the whole block."""
+    out = []
+    for text, mask in zip(blocks, masks, strict=True):
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], np.asarray(mask, np.int8), [0])))).tolist()
+        words = text.split(" ")
+        for a, b in reversed(list(zip(edges[::2], edges[1::2], strict=True))):
+            if b - a >= REPEAT_TOKENS or b - a == len(mask):
+                del words[a:b]
+        if words:
+            out.append(" ".join(words))
+    return out
 
 
 def _unique_runs(pages):
-    """The pages of one host, or of one of its parts, without the blocks that repeats cover."""
-    shares = repeated([list(b) for b in pages["blocks"]], pages["page_key"].tolist())
-    pages["blocks"] = [[x for x, s in zip(b, own, strict=True) if s <= COVERED] for b, own in zip(pages["blocks"], shares, strict=True)]
+    """The pages of one host, or of one of its parts, without the tokens that repeats cover."""
+    masks = covered([list(b) for b in pages["blocks"]], pages["page_key"].tolist())
+    pages["blocks"] = [uncovered(list(b), own) for b, own in zip(pages["blocks"], masks, strict=True)]
     return pages[["page_id", "url", "blocks"]]
 
 
+def _cleared(batches):
+    """Pages with their covered places to pages without those."""
+    for pages in batches:
+        kept = []
+        for own, places in zip(pages["blocks"], pages["covered"], strict=True):
+            ends = np.cumsum([x.count(" ") + 1 for x in own])
+            mask = np.zeros(int(ends[-1]), bool)
+            if places is not None:
+                mask[np.asarray(places, np.int64)] = True
+            kept.append(uncovered(list(own), np.split(mask, ends[:-1])))
+        pages["blocks"] = kept
+        yield pages[["page_id", "url", "blocks"]]
+
+
 def _dealt(pages: DataFrame) -> DataFrame:
     """The same for hosts that are too large for one array: suffixes that share their first tokens meet in one group,
-    which counts its distinct pages; only tokens that repeats cover come back to their blocks."""
-    block = pages.select("host", "page_key", F.posexplode("blocks").alias("block", "text")).dropDuplicates(["page_key", "block"]).withColumn("words", F.split("text", " "))
+    which counts its distinct pages; only tokens that repeats cover come back to their pages."""
+    page = pages.select("host", "page_key", F.split(F.array_join("blocks", " "), " ").alias("words")).dropDuplicates(["page_key"])
     starts = F.when(F.size("words") >= REPEAT_TOKENS, F.transform(F.sequence(F.lit(1), F.size("words") - REPEAT_TOKENS + 1), lambda i: F.xxhash64(F.slice("words", i, F.lit(REPEAT_TOKENS)))))
-    suffix = block.select("host", "page_key", "block", F.size("words").alias("n"), F.posexplode(starts).alias("at", "first"))
+    suffix = page.select("host", "page_key", F.posexplode(starts).alias("at", "first"))
     often = suffix.select("host", "first", "page_key").distinct().groupBy("host", "first").agg(F.count("*").alias("pages")).where(F.col("pages") >= REPEAT_PAGES).select("host", "first")
-    hit = suffix.join(often, ["host", "first"]).groupBy("page_key", "block").agg(F.first("n").alias("n"), F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + REPEAT_TOKENS - 1)))).alias("covered"))
-    gone = hit.where(F.size("covered") > F.col("n") * COVERED).groupBy("page_key").agg(F.collect_set("block").alias("gone"))
-    joined = pages.join(gone, "page_key", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    kept = F.filter("blocks", lambda _, i: ~F.array_contains("gone", i))
-    return joined.select("page_id", "url", kept.alias("blocks"))
+    hit = suffix.join(often, ["host", "first"]).groupBy("page_key").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + REPEAT_TOKENS - 1)))).alias("covered"))
+    joined = pages.join(hit, "page_key", "left").select("page_id", "url", "blocks", "covered")
+    return joined.mapInPandas(_cleared, "page_id long, url string, blocks array<string>")
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

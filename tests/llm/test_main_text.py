@@ -90,3 +90,16 @@ def test_suffix_array_finds_repeats_across_distinct_pages():
     assert main_text.repeated([[same, "p q"], [same], ["x " + same + " y z w v u t s r q p o n"]]) == [[1.0, 0.0], [1.0], [7 / 20]]
     assert main_text.repeated([[same, same, same], [same]]) == [[0.0, 0.0, 0.0], [0.0]]  # two distinct pages only
     assert main_text.repeated([[], ["a"]]) == [[], [0.0]]
+
+
+@pytest.mark.parametrize("tokens", [1_000_000, 40])
+def test_short_menus_and_half_covered_blocks(spark, monkeypatch, tokens):
+    monkeypatch.setattr(main_text, "HOST_TOKENS", tokens)
+    menu = "".join(f"<li>{x}</li>" for x in ("Home", "Terms", "Privacy", "Our jobs", "Press", "Contact", "Imprint"))
+    notice = "all offers on these pages are without guarantee and may change at any time"
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(4))
+    long = lambda i: " ".join(f"v{i}x{k}" for k in range(40))
+    rows = [(i, f"http://a.example/{i}", f"<body><ul>{menu}</ul><div>{notice} {own(i)}</div><div>{long(i)} {notice}</div></body>") for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in main_text.extract(pages).collect()}
+    assert got == {i: f"{own(i)}\n\n{long(i)}" for i in range(9)}
