@@ -1,9 +1,15 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions for what they miss.
 
 The patterns find e-mail addresses, IP addresses, card and phone numbers; their spans stay. The network is trained in numpy
-on spans of a labelled generator. It reads windows around digits and at signs (no kind can do without one). Windows
-overlap; emissions of a character are averaged over its windows, and one Viterbi pass decodes each whole stretch, so the
-spans agree across windows. A decoded span counts if it does not touch a pattern's span and holds what its kind needs.
+on spans of a labelled generator, and reads every character of every text, in windows that overlap. Emissions of a character
+are averaged over its windows, and the best path of the CRF is found over each whole text (outside before and behind it), so
+spans agree across windows. The search is exact and still short: where "outside" leads by more than any
+transitions can win back, and where no run of characters around could win, the best path is outside, so paths are searched
+only between such characters, in chunks whose transfer matrices are chained. A decoded span counts if it does not touch a pattern's span and holds what its kind cannot
+be without (holds()). Secrets (keys and tokens) are a further label; report() gives their spans in a column of their own.
+
+Memory is bounded by a step of text (common.steps), and of a longer text by a block of windows plus the scores of its
+characters that are not surely outside.
 
 Defined cases: a null or empty text has no spans; positions are code points, ends exclusive; repeated documents are each
 judged; an empty table gives no rows; further columns are kept only by mask()."""
@@ -23,6 +29,8 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 
 KINDS = ("email", "ip", "card", "phone")
+#: The labels of the network: the kinds, and keys and tokens.
+LABELS = (*KINDS, "secret")
 
 # --- the fixed patterns ----------------------------------------------------------------------------------------------
 
@@ -90,49 +98,78 @@ class Generator:
 
     def word(self) -> str:
         w = "".join(self.pick(*SYLLABLES) for _ in range(int(self.rng.integers(1, 4))))
-        return self.pick(w, w, w, w.capitalize(), w.upper()) + self.pick("", "", "", "", ",", ".", "!!", "***", "%%%")
+        if self.rng.random() < 0.1:  # letters of any kind, other scripts included
+            w = self.token("abcdefghijklmnopqrstuvwxyzàéîßøñ日本語кир한글😀", int(self.rng.integers(1, 30)))
+        return self.pick(w, w, w, w, w.capitalize(), w.upper(), w.capitalize() + w) + self.pick("", "", "", "", "", ",", ".", "!!", "***", "%%%", "$$$", "&&&", "###")
+
+    def token(self, alphabet: str, n: int) -> str:
+        return "".join(self.pick(*alphabet) for _ in range(n))
 
-    def positive(self) -> tuple[int, str]:
-        d, kind = self.digits, int(self.rng.integers(4))
+    def positive(self) -> tuple[int, str, str, str]:
+        """Kind, the text before the span, the span, the text behind it."""
+        d, kind = self.digits, int(self.rng.integers(len(LABELS)))
         plain = lambda: "".join(self.pick(*SYLLABLES[:30]) for _ in range(2))
+        before, behind = "", self.pick("", "", "", ",", ".", "!!", "###", "***", "$$$", ";", ")")
         if kind == 0:
-            return 0, self.pick(f"{plain()}.{d(2)}@mail{d(1)}.example.com", f"{plain()}@{plain()}.org", f"{plain()} @ {plain()}.com", f"{plain()}@{plain()}", f"{plain()}_{d(3)}@{plain()}.co.uk")
-        if kind == 1:
+            piece = self.pick(f"{plain()}.{d(2)}@mail{d(1)}.example.com", f"{plain()}@{plain()}.org", f"{plain()} @ {plain()}.com", f"{plain()}@{plain()}", f"{plain()}_{d(3)}@{plain()}.co.uk")
+        elif kind == 1:
             q = lambda: str(int(self.rng.integers(1, 256)))
-            return 1, f"{q()}.{q()}.{q()}.{q()}"
-        if kind == 2:
-            return 2, self.pick(d(16), d(16), f"{d(4)} {d(4)} {d(4)} {d(4)}", f"{d(4)}-{d(4)}-{d(4)}-{d(4)}", d(15))
-        return 3, self.pick(f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"{d(3)} {d(3)} {d(4)}", f"{d(3)}.{d(3)}.{d(4)}")
+            piece = f"{q()}.{q()}.{q()}.{q()}"
+        elif kind == 2:
+            piece = self.pick(d(16), d(16), f"{d(4)} {d(4)} {d(4)} {d(4)}", f"{d(4)}-{d(4)}-{d(4)}-{d(4)}", d(15))
+        elif kind == 3:
+            piece = self.pick(f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"{d(3)} {d(3)} {d(4)}", f"{d(3)}.{d(3)}.{d(4)}")
+        else:
+            hexes, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+            piece = self.pick(self.token(hexes, 40), self.token(hexes, 40), self.token(hexes, 32), f"AKIA{self.token(mixed[:26] + mixed[52:], 16)}", f"ghp_{self.token(mixed, 36)}", f"sk_live_{self.token(mixed, 24)}", self.token(hexes, 40).upper())
+            before = self.pick('token = "', 'token = "', "token: ", 'TOKEN = "', "key=", "api_key = '", "secret: ", "")
+            behind = {'"': '"', "'": "'"}.get(before[-1:], "") + behind
+        return kind, before, piece, behind
 
     def negative(self) -> str:
         d = self.digits
-        hexes = "".join(self.pick(*"0123456789abcdef") for _ in range(40))
-        tail = "".join(self.pick(*"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(16))
-        return self.pick(f'token = "{hexes}"', f"key={hexes[:20]}", f"AKIA{tail}", f"ghp_{tail}{tail}", f"19{d(2)}", f"20{d(2)}", f"v{d(1)}.{d(1)}.{d(2)}", f"{d(1)}.{d(1)}.{d(1)}", f"{d(2)},{d(3)}", f"${d(2)}.{d(2)}", f"20{d(2)}-0{d(1)}-1{d(1)}", f"{d(2)}:{d(2)}", "4.0.", "2.0", "version 3.", f"{d(2)}%", f"{d(5)}", f"@{self.word()}", f"{d(8)}", f"{d(1)} {d(2)} {d(3)}", f"({d(4)})", f"{d(1)}. {d(2)}. {d(4)}")
+        return self.pick(f"19{d(2)}", f"20{d(2)}", f"v{d(1)}.{d(1)}.{d(2)}", f"{d(1)}.{d(1)}.{d(1)}", f"{d(2)},{d(3)}", f"${d(2)}.{d(2)}", f"20{d(2)}-0{d(1)}-1{d(1)}", f"{d(2)}:{d(2)}", "4.0.", "2.0", "version 3.", f"{d(2)}%", f"{d(5)}", f"@{self.word()}", f"{d(8)}", f"{d(1)} {d(2)} {d(3)}", f"({d(4)})", f"{d(1)}. {d(2)}. {d(4)}", f"#{self.token('0123456789abcdef', 6)}", f"/{self.word()}/{d(4)}.html", "=" * 12, "-" * 9, "_" * 7, f"({self.word()})", f'"{self.word()}"', f"{self.word()} = {d(2)}")
 
     def stretch(self, least: int) -> tuple[str, np.ndarray]:
-        text, tags = "", []
+        """Text with the label of each character, 0 outside; some stretches are prose without any span."""
+        text, tags, gap = "", [], self.pick(" ", " ", " ", " | ", "\n")
+        share = self.pick(0.0, 0.08, 0.2, 0.2)
         while len(text) < least:
             roll = self.rng.random()
-            kind, piece = self.positive() if roll < 0.2 else (-1, self.negative() if roll < 0.4 else self.word())
-            text += piece + " "
-            tags += [kind + 1] * len(piece) + [0]
+            kind, before, piece, behind = self.positive() if roll < share else (-1, "", self.negative() if roll < share + self.pick(0.02, 0.2) else self.word(), "")
+            text += before + piece + behind + gap
+            tags += [0] * len(before) + [kind + 1] * len(piece) + [0] * (len(behind) + len(gap))
         return text[:least], np.array(tags[:least])
 
 
 # --- the network -----------------------------------------------------------------------------------------------------
 
-EMBED, HIDDEN, TAGS = 10, 12, len(KINDS) + 1
-#: Characters of a window, of its overlap with the next, and beside a digit or an at sign.
-WINDOW, OVERLAP, AROUND = 96, 48, 24
-#: Training: stretches, rounds over them, batch, rate, seed.
-STRETCHES, EPOCHS, BATCH, RATE, SEED = 960, 14, 48, 0.02, 11
+EMBED, HIDDEN, TAGS = 10, 14, len(LABELS) + 1
+#: Characters of a window, and of its overlap with the next.
+WINDOW, OVERLAP = 256, 32
+STRIDE = WINDOW - OVERLAP
+#: Windows whose scores are made at a time, and that step through the network together.
+BLOCK, TOGETHER = 4096, 1024
+#: Characters of a chunk of the search for the best path, and chunks searched together.
+CHUNK, CHUNKS = 512, 512
+#: Training: stretches and their length, rounds over them, batch, rate, seed.
+STRETCHES, STRETCH, EPOCHS, BATCH, RATE, SEED = 1536, 112, 14, 64, 0.02, 11
+
+#: Code of a character by the first byte of its UTF-8: ASCII as it is, 128 for Latin letters beyond, 129 for the rest.
+_CODE = np.arange(256, dtype=np.uint8)
+_CODE[128:] = 129
+_CODE[0xC2:0xCA] = 128
+
 
+def codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of the characters of UTF-8 rows, and the rows' offsets in characters."""
+    first = (data & 0xC0) != 0x80
+    return _CODE[data[first]], np.concatenate(([0], np.cumsum(first)))[offsets]
 
-def codes(text: str) -> np.ndarray:
-    """ASCII as it is, 128 for letters beyond, 129 for the rest; 130 pads."""
-    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
-    return np.where(c < 128, c, np.where(c < 0x250, 128, 129))
+
+def text_codes(text: str) -> np.ndarray:
+    data = np.frombuffer(text.encode(), np.uint8)
+    return codes(data, np.array([0, len(data)]))[0]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -177,7 +214,7 @@ def start_weights(rng: np.random.Generator) -> dict[str, np.ndarray]:
     def normal(a: int, b: int) -> np.ndarray:
         return (rng.normal(size=(a, b)) / np.sqrt(a)).astype(np.float32)
 
-    out = {"e": normal(131, EMBED), "v": normal(2 * HIDDEN, TAGS), "c": np.zeros(TAGS, np.float32), "t": np.zeros((TAGS, TAGS), np.float32)}
+    out = {"e": normal(130, EMBED), "v": normal(2 * HIDDEN, TAGS), "c": np.zeros(TAGS, np.float32), "t": np.zeros((TAGS, TAGS), np.float32)}
     for side in "fb":
         bias = np.zeros(4 * HIDDEN, np.float32)
         bias[HIDDEN : 2 * HIDDEN] = 1
@@ -223,8 +260,8 @@ def crf_gradient(score: np.ndarray, move: np.ndarray, tags: np.ndarray) -> tuple
 def weights() -> dict[str, np.ndarray]:
     """The trained network: Adam over generated stretches; the same on every machine up to rounding."""
     make, rng = Generator(SEED), np.random.default_rng(SEED)
-    texts = [make.stretch(WINDOW) for _ in range(STRETCHES)]
-    x, y = np.stack([codes(t) for t, _ in texts], 1), np.stack([g for _, g in texts], 1)
+    texts = [make.stretch(STRETCH) for _ in range(STRETCHES)]
+    x, y = np.stack([text_codes(t) for t, _ in texts], 1).astype(np.int64), np.stack([g for _, g in texts], 1)
     p = start_weights(rng)
     m, v, step = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
     for epoch in range(EPOCHS):
@@ -250,138 +287,270 @@ def weights() -> dict[str, np.ndarray]:
     return p
 
 
-def decode(p: dict[str, np.ndarray], stretches: list[str]) -> list[np.ndarray]:
-    """The tags of each stretch: windows of all stretches run together, then one Viterbi pass over each stretch."""
-    where, rows = [], []
-    for i, s in enumerate(stretches):
-        c = codes(s)
-        for low in range(0, max(1, len(c) - OVERLAP), WINDOW - OVERLAP):
-            w = c[low : low + WINDOW]
-            where.append((i, low, len(w)))
-            rows.append(np.concatenate((w, np.full(WINDOW - len(w), 130))) if len(w) < WINDOW else w)
-    total = [np.zeros((len(s), TAGS)) for s in stretches]
-    seen = [np.zeros((len(s), 1)) for s in stretches]
-    for low in range(0, len(rows), 512):
-        score, _ = emissions(p, np.stack(rows[low : low + 512], 1))
-        for j, (i, at, n) in enumerate(where[low : low + 512]):
-            total[i][at : at + n] += score[:n, j]
-            seen[i][at : at + n] += 1
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(stretches)
-    order = sorted(range(len(stretches)), key=lambda i: len(stretches[i]))
-    move = p["t"].astype(np.float64)
-    for low in range(0, len(order), 256):
-        group = order[low : low + 256]
-        longest = len(stretches[group[-1]])
-        score = np.zeros((longest, len(group), TAGS))
-        for j, i in enumerate(group):
-            score[: len(stretches[i]), j] = total[i] / seen[i]
-        best, back = score[0], np.zeros((longest, len(group), TAGS), np.int64)
-        finals = np.zeros((longest, len(group)), np.int64)
-        finals[0] = best.argmax(1)
-        for t in range(1, longest):
-            each = best[:, :, None] + move
-            back[t] = each.argmax(1)
-            best = each.max(1) + score[t]
-            finals[t] = best.argmax(1)
-        for j, i in enumerate(group):
-            n = len(stretches[i])
-            tags, now = np.zeros(n, np.int64), finals[n - 1, j]
-            for t in range(n - 1, -1, -1):
-                tags[t] = now
-                now = back[t, j, now]
-            out[i] = tags
+# --- reading ---------------------------------------------------------------------------------------------------------
+
+
+class Reader:
+    """The network as tables: what a character adds to the gates of either direction is one column. The gates run through
+    tanh alone, as sigmoid(x) = (1 + tanh(x / 2)) / 2."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        half = np.concatenate((np.full(3 * HIDDEN, 0.5), np.ones(HIDDEN))).astype(np.float32)
+        self.side = []
+        for side, low in (("f", 0), ("b", HIDDEN)):
+            table = ((p["e"] @ p[f"w{side}"] + p[f"b{side}"]) * half).T
+            self.side.append((np.ascontiguousarray(table), np.ascontiguousarray((p[f"u{side}"] * half).T), np.ascontiguousarray(p["v"][low : low + HIDDEN])))
+        self.bias, self.move = p["c"], p["t"].astype(np.float32)
+        t = p["t"].astype(np.float64)
+        # what a path can win by transitions: by one character that is not outside, by each further one, and by a run's ends
+        self.swing = max(float((t[:, [k]] + t[[k], :] - t[:, [0]] - t[[0], :]).max()) for k in range(1, TAGS))
+        self.more = float(t[1:, 1:].max() - t[0, 0])
+        self.ends = float(t[0, 1:].max() + t[1:, 0].max() - 2 * t[0, 0]) - self.more
+
+    def _run(self, total: np.ndarray, codes: np.ndarray, at: np.ndarray, length: np.ndarray, side: int) -> None:
+        """Adds to total the scores of one direction over windows that begin (side 0) or end (side 1) at places. Lengths
+        fall, so the windows that still run are the first ones."""
+        table, u, v = self.side[side]
+        n, h = len(at), HIDDEN
+        hidden, cell = np.zeros((h, n), np.float32), np.zeros((h, n), np.float32)
+        running = np.searchsorted(-length, -np.arange(int(length[0])), "left")
+        for t in range(int(length[0])):
+            m = int(running[t])
+            if m < hidden.shape[1]:
+                hidden, cell = np.ascontiguousarray(hidden[:, :m]), np.ascontiguousarray(cell[:, :m])
+            place = at[:m] + t if side == 0 else at[:m] - 1 - t
+            z = u @ hidden
+            z += np.take(table, codes[place], axis=1)
+            np.tanh(z, out=z)
+            gates = z[: 3 * h]
+            gates *= 0.5
+            gates += 0.5
+            z[:h] *= z[3 * h :]
+            cell *= z[h : 2 * h]
+            cell += z[:h]
+            np.tanh(cell, out=hidden)
+            hidden *= z[2 * h : 3 * h]
+            total[place] += hidden.T @ v
+
+    def scores(self, codes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(first place, scores by place and tag) of consecutive parts of rows of characters."""
+        size = np.diff(bounds)
+        count = np.where(size > 0, np.maximum(1, -(-(size - OVERLAP) // STRIDE)), 0)
+        row = np.repeat(np.arange(len(size)), count)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        start = bounds[row] + nth * STRIDE
+        end = np.minimum(start + WINDOW, bounds[row + 1])
+        for a in range(0, len(row), BLOCK):
+            b = min(a + BLOCK, len(row))
+            first = a - 1 if a and nth[a] else a  # the window before reaches into the first characters
+            low, high = int(start[first]), int(end[b - 1])
+            total, seen = np.zeros((high - low, TAGS), np.float32), np.zeros(high - low + 1, np.int32)
+            np.add.at(seen, start[first:b] - low, 1)
+            np.add.at(seen, end[first:b] - low, -1)
+            order = first + np.argsort(start[first:b] - end[first:b], kind="stable")
+            for k in range(0, len(order), TOGETHER):
+                w = order[k : k + TOGETHER]
+                self._run(total, codes[low:high], start[w] - low, end[w] - start[w], 0)
+                self._run(total, codes[low:high], end[w] - low, end[w] - start[w], 1)
+            total /= np.cumsum(seen[:-1])[:, None].astype(np.float32)
+            total += self.bias
+            keep, till = int(start[a]), int(start[b]) if b < len(row) and nth[b] else high
+            yield keep, total[keep - low : till - low]
+
+    def tags(self, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of characters, and their tags on the best paths of their rows; outside are all others."""
+        places, kept = [np.zeros(0, np.int64)], [np.zeros((0, TAGS), np.float32)]
+        for low, score in self.scores(codes, bounds):
+            open_ = np.flatnonzero(_lead(score) >= -self.swing)
+            places.append(open_ + low)
+            kept.append(score[open_])
+        place, score = np.concatenate(places), np.concatenate(kept)
+        row = np.searchsorted(bounds, place, "right")
+        heads = lambda: np.flatnonzero(np.concatenate(([True], (np.diff(place) > 1) | (np.diff(row) > 0)))[: len(place)])
+        open_ = _best_run(_lead(score) + self.more, heads()) + self.ends >= 0
+        place, score, row = place[open_], score[open_], row[open_]
+        first = heads()
+        return place, best_paths(score, self.move, first, np.diff(np.append(first, len(place))))
+
+
+def _lead(score: np.ndarray) -> np.ndarray:
+    """By how much the best tag that is not outside leads."""
+    best = score[:, 1]
+    for k in range(2, TAGS):
+        best = np.maximum(best, score[:, k])
+    return best - score[:, 0]
+
+
+def _best_run(gain: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each character the largest sum of gains of a run of its segment that holds it."""
+    n = len(gain)
+    if not n:
+        return gain
+    gain, total = gain.astype(np.float64), np.empty(n)
+    length = np.diff(np.append(first, n))
+    np.cumsum(gain, out=total)
+    total -= np.repeat(total[first] - gain[first], length)  # within the segment
+    low, high = np.minimum(np.minimum.reduceat(total, first), 0), np.maximum.reduceat(total, first)
+    # each segment lower than all that is before it: then least and largest sums of the whole are those of the segment
+    base = np.concatenate(([0], np.cumsum(low[:-1] - np.maximum(high[1:], 0))))
+    total += np.repeat(base, length)
+    before = total - gain  # the sum in front of each character
+    return np.maximum.accumulate(total[::-1])[::-1] - np.minimum.accumulate(before)
+
+
+def _falling(length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Groups of chunks, the longest first, and how many of each still run at each step."""
+    order = np.argsort(-length, kind="stable")
+    for k in range(0, len(order), CHUNKS):
+        group = order[k : k + CHUNKS]
+        yield group, np.searchsorted(-length[group], -np.arange(int(length[group[0]])), "left")
+
+
+def best_paths(score: np.ndarray, move: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The tags of the best path of each segment of scores, from outside to outside. Segments are cut into chunks; those
+    of more than one get the best sums from each tag before a chunk to each tag at its end, and are chained by them."""
+    count = -(-length // CHUNK)
+    segment = np.repeat(np.arange(len(first)), count)
+    nth = np.arange(len(segment)) - np.repeat(np.cumsum(count) - count, count)
+    start = first[segment] + nth * CHUNK
+    size = np.minimum(CHUNK, first[segment] + length[segment] - start)
+    tags, before, behind = len(move), np.zeros(len(segment), np.int64), np.full(len(segment), -1)  # behind: -1 is open
+    many = np.flatnonzero(count[segment] > 1)
+    if len(many):
+        sums = np.empty((len(many), tags, tags), np.float32)
+        for group, running in _falling(size[many]):
+            own = many[group]
+            best = move[None] + score[start[own]][:, None, :]
+            for t in range(1, len(running)):
+                m = running[t]
+                best[:m] = (best[:m, :, :, None] + move).max(2) + score[start[own[:m]] + t][:, None, :]
+            sums[group] = best
+        at = 0
+        while at < len(many):
+            n = int(count[segment[many[at]]])
+            value, came = np.where(np.arange(tags) == 0, 0.0, -np.inf), np.empty((n, tags), np.int64)
+            for i in range(n):
+                each = value[:, None] + sums[at + i]
+                came[i], value = each.argmax(0), each.max(0)
+            now = int((value + move[:, 0]).argmax())
+            for i in range(n - 1, -1, -1):
+                behind[many[at + i]], now = now, int(came[i, now])
+                before[many[at + i]] = now
+            at += n
+    out = np.empty(len(score), np.int64)
+    for own, running in _falling(size):
+        best = move[before[own]] + score[start[own]]
+        back = np.zeros((len(running), len(own), tags), np.int8)
+        last = np.empty((len(own), tags), np.float32)
+        for t in range(len(running)):
+            m = running[t]
+            if t:
+                each = best[:m, :, None] + move
+                back[t, :m], best = each.argmax(1), each.max(1) + score[start[own[:m]] + t]
+            last[:m] = best
+        now = np.where(behind[own] >= 0, behind[own], (last + move[:, 0]).argmax(1))
+        for t in range(len(running) - 1, -1, -1):
+            m = running[t]
+            out[start[own[:m]] + t] = now[:m]
+            now[:m] = back[t, np.arange(m), now[:m]]
     return out
 
 
-_SEED = re.compile(r"[0-9@]")
-_SHAPES = (
-    re.compile(r"[^\s@]{2,} ?@ ?[^\s@]{2,}\.[A-Za-z]{2,}"),
-    re.compile(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"),
-    re.compile(r"[0-9](?:[ -]?[0-9]){12,18}"),
-    re.compile(r"\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}|\+?[0-9](?:[ ().-]?[0-9]){9,14}"),
-)
+def decode(p: dict[str, np.ndarray], texts: list[str]) -> list[np.ndarray]:
+    """The tags of the characters of each text."""
+    code, bounds = codes(*common.buffers(pa.array(texts, pa.string())))
+    tags = np.zeros(len(code), np.int64)
+    place, own = Reader(p).tags(code, bounds)
+    tags[place] = own
+    return np.split(tags, bounds[1:-1])
 
 
-def plausible(kind: int, piece: str) -> bool:
-    """What a decoded span must hold: the shape of its kind, octets of an address, the check digit of a card."""
-    if not _SHAPES[kind].fullmatch(piece):
-        return False
+def holds(kind: int, piece: str) -> bool:
+    """Whether a decoded span holds what its kind cannot be without. Check digits are not asked for: a card number with a
+    misread digit is still somebody's."""
+    digits = sum("0" <= c <= "9" for c in piece)
+    if kind == 0:
+        return 0 < piece.find("@") < len(piece) - 1
     if kind == 1:
-        return all(int(x) <= 255 for x in piece.split("."))
-    return kind != 2 or luhn(re.sub("[ -]", "", piece))
+        parts = piece.split(".")
+        return len(parts) == 4 and all(x.isascii() and x.isdigit() and len(x) <= 3 and int(x) <= 255 for x in parts)
+    if kind == 2:
+        return 13 <= digits <= 19
+    if kind == 3:
+        return 7 <= digits <= 15
+    return len(piece) >= 16 and " " not in piece
 
 
-def stretches_of(text: str) -> list[tuple[int, int]]:
-    """Parts of the text around digits and at signs, joined where they meet."""
-    out: list[list[int]] = []
-    for m in _SEED.finditer(text):
-        a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+_EDGES = " \t\r\n,;\"'"
 
 
-def find(p: dict[str, np.ndarray], texts: list[str]) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
-    """For each text its base spans and all spans."""
-    base = [base_spans(t) for t in texts]
-    parts = [(i, a, b) for i, t in enumerate(texts) for a, b in stretches_of(t)]
-    every = [list(x) for x in base]
-    for (i, a, b), tags in zip(parts, decode(p, [texts[i][a:b] for i, a, b in parts]), strict=True):
-        cut = np.flatnonzero(np.diff(np.concatenate(([0], tags, [0]))))
-        for low, high in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            kind = int(tags[low]) - 1
-            if kind < 0:
-                continue
-            start, end = a + low, a + high
-            while start < end and texts[i][start] in " \n\t":
-                start += 1
-            while start < end and texts[i][end - 1] in " \n\t,;":
-                end -= 1
-            piece = texts[i][start:end]
-            if plausible(kind, piece) and all(end <= s or start >= e for s, _, e in base[i]):
-                every[i].append((start, kind, end))
-    return [(x, sorted(set(y))) for x, y in zip(base, every, strict=True)]
+def examine(reader: Reader, column: pa.Array) -> list[tuple[list, list, list]]:
+    """For each text its base spans, all spans of the kinds, and the spans of secrets, as (start, kind, end)."""
+    data, offsets = common.buffers(column)
+    code, bounds = codes(data, offsets)
+    place, tag = reader.tags(code, bounds)
+    place, tag = place[tag > 0], tag[tag > 0]
+    row = np.searchsorted(bounds, place, "right") - 1
+    cut = np.flatnonzero(np.concatenate(([True], (np.diff(place) > 1) | (np.diff(tag) != 0) | (np.diff(row) != 0)))[: len(place)])
+    last = np.append(cut[1:], len(place))[: len(cut)] - 1
+    found: dict[int, list[tuple[int, int, int]]] = {}
+    for i, k, a, b in zip(row[cut].tolist(), tag[cut].tolist(), (place[cut] - bounds[row[cut]]).tolist(), (place[last] - bounds[row[cut]]).tolist(), strict=True):
+        found.setdefault(i, []).append((a, k - 1, b + 1))
+    # no pattern does without a digit or an at sign
+    total = np.concatenate(([0], np.cumsum(_HOT[code])))[bounds]
+    rows = sorted(set(np.flatnonzero(np.diff(total)).tolist()) | found.keys())
+    out: list[tuple[list, list, list]] = [([], [], [])] * len(column)
+    for i, text in zip(rows, column.take(pa.array(rows, pa.int64())).to_pylist(), strict=True):
+        base = base_spans(text)
+        every, secrets = set(base), []
+        for a, kind, b in found.get(i, ()):
+            while a < b and text[a] in _EDGES:
+                a += 1
+            while a < b and text[b - 1] in _EDGES:
+                b -= 1
+            if holds(kind, text[a:b]) and all(b <= s or a >= e for s, _, e in base):
+                if kind < len(KINDS):
+                    every.add((a, kind, b))
+                else:
+                    secrets.append((a, kind, b))
+        out[i] = (base, sorted(every), secrets)
+    return out
 
 
-def joined(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+_HOT = np.isin(np.arange(256), list(b"0123456789@"))
 
 
-def _flagged(column: pa.Array) -> np.ndarray:
-    """Rows with a digit, an at sign or a plus."""
-    data, offsets = common.buffers(column)
-    hot = np.isin(np.arange(256), list(b"0123456789@"))
-    out = np.zeros(len(offsets) - 1, bool)
-    for a, b in common.steps(offsets, 16 << 20):
-        total = np.concatenate(([0], np.cumsum(hot[data[offsets[a] : offsets[b]]])))
-        own = offsets[a : b + 1] - offsets[a]
-        out[a:b] = total[own[1:]] > total[own[:-1]]
-    return out
+def find(p: dict[str, np.ndarray], texts: list[str]) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+    """For each text its base spans and all spans of the kinds."""
+    return [(base, every) for base, every, _ in examine(Reader(p), pa.array(texts, pa.string()))]
+
+
+def joined(spans: list[tuple[int, int, int]]) -> str:
+    return ",".join(f"{LABELS[k]}:{a}:{b}" for a, k, b in spans)
 
 
 EMPTY = hashlib.sha256(b"").hexdigest()
-OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, secrets string, n_private long"
 
 
 def _report(p: dict[str, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, names = Reader(p), [x.split()[0] for x in OUT.split(", ")]
         for batch in batches:
-            n = batch.num_rows
-            counts, hashes, spans = np.zeros((4, n), np.int64), [EMPTY] * n, [""] * n
-            at = np.flatnonzero(_flagged(batch.column(1)))
-            for i, (base, every) in zip(at.tolist(), find(p, batch.column(1).take(pa.array(at)).to_pylist()), strict=True):
-                for _, k, _ in base:
-                    counts[k, i] += 1
-                hashes[i], spans[i] = hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in counts], pa.array(hashes), pa.array(spans)], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+            _, offsets = common.buffers(batch.column(1))
+            for a, b in common.steps(offsets):
+                own = examine(reader, batch.column(1).slice(a, b - a))
+                counts = [[sum(k == kind for _, k, _ in base) for base, _, _ in own] for kind in range(len(KINDS))]
+                hashes = [hashlib.sha256(joined(base).encode()).hexdigest() if base else EMPTY for base, _, _ in own]
+                rest = [[joined(every) for _, every, _ in own], [len(every) for _, every, _ in own], [joined(x) for _, _, x in own], [len(every) + len(x) for _, every, x in own]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *[pa.array(c, pa.int64()) for c in counts], pa.array(hashes, pa.string()), pa.array(rest[0], pa.string()), pa.array(rest[1], pa.int64()), pa.array(rest[2], pa.string()), pa.array(rest[3], pa.int64())], names)
 
     return run
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of OUT for each document."""
+    """One row of OUT for each document: counts and digest of the base, all spans of the kinds and their number, the spans
+    of secrets, and the number of both."""
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(common.tidy(_report(weights())), OUT)
 
 
@@ -397,14 +566,18 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def _mask(p: dict[str, np.ndarray], at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(p)
         for batch in batches:
-            rows = np.flatnonzero(_flagged(batch.column(at)))
-            if len(rows):
-                texts = batch.column(at).to_pylist()
-                for i, (_, every) in zip(rows.tolist(), find(p, [texts[i] for i in rows.tolist()]), strict=True):
-                    texts[i] = masked(texts[i], every)
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            yield batch
+            _, offsets = common.buffers(batch.column(at))
+            for a, b in common.steps(offsets):
+                part = batch.slice(a, b - a)
+                spans = {i: every for i, (_, every, _) in enumerate(examine(reader, part.column(at))) if every}
+                if spans:
+                    texts = part.column(at).to_pylist()
+                    for i, every in spans.items():
+                        texts[i] = masked(texts[i], every)
+                    part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+                yield part
 
     return run
 
