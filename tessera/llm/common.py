@@ -22,12 +22,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores in front as far as columns of a table clash (Spark's names know no case)."""
+    have, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 # --- tables in the shared folder -------------------------------------------------------------------------------------
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or beside the warehouse where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "_checkpoints"
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may do without it, and then
+    uses a folder beside the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", "")
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "_checkpoints"
     return root.rstrip("/")
 
 
@@ -147,13 +162,13 @@ _R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _GRAM = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
-_powers: dict[str, np.ndarray] = {"r": np.ones(1, np.uint64), "i": np.ones(1, np.uint64)}
+_powers: dict[str, np.ndarray] = {}
 
 
 def _power(which: str, base: np.uint64, n: int) -> np.ndarray:
-    if len(_powers[which]) < n:
-        size = max(n, STEP_BYTES + 64)
-        out = np.full(size, base, np.uint64)
+    """Powers from 0 on, of which span_hashes asks for STEP_BYTES + 1 at most: 8 MB a base for the worker's life."""
+    if which not in _powers:
+        out = np.full(STEP_BYTES + 1, base, np.uint64)
         out[0] = 1
         _powers[which] = np.multiply.accumulate(out)
     return _powers[which][:n]
@@ -168,11 +183,26 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span of `data`, linear in len(data) whatever the spans."""
-    n = len(data)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _power("r", _R, n), out=total[1:])
-    h = (total[ends] - total[starts]) * _power("i", _R_INV, n + 1)[starts]
+    """64-bit hash of each byte span of `data`; spans begin and end in rising order. Linear in len(data), and worked on in
+    parts of at most STEP_BYTES, so a long text needs little beside its spans."""
+    h = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        low = int(starts[a])
+        b = max(a + 1, int(np.searchsorted(ends, low + STEP_BYTES, "right")))
+        if b == a + 1:  # may be longer than a part
+            total, step = 0, 1
+            for at in range(low, int(ends[a]), STEP_BYTES):
+                part = data[at : min(at + STEP_BYTES, int(ends[a]))]
+                total += int((_BYTE[part] * _power("r", _R, len(part))).sum(dtype=np.uint64)) * step
+                step = step * pow(int(_R), STEP_BYTES, 1 << 64) % (1 << 64)
+            h[a] = total % (1 << 64)
+        else:
+            part = data[low : int(ends[b - 1])]
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(_BYTE[part] * _power("r", _R, len(part)), out=total[1:])
+            h[a:b] = (total[ends[a:b] - low] - total[starts[a:b] - low]) * _power("i", _R_INV, len(part) + 1)[starts[a:b] - low]
+        a = b
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 

@@ -6,6 +6,10 @@ separator of its own. The index is the Burrows-Wheeler transform of that sequenc
 positions sampled. All phrases are searched backward together, their rows are located by walking to the next sampled
 row, and overlapping occurrences are merged to removal spans. Words are known by 64-bit hashes.
 
+Test items are searched in blocks, each a pass over the documents that finds spans in the original texts. Spans of several
+blocks meet by a 128-bit hash of id and text, are merged, and cut once; rows that no block hits take no part. So the blocks
+do not show in the results.
+
 Defined cases: a null or empty text has no words and is never contaminated; a null or empty item has no phrase; an item
 of fewer words than a window is one phrase; equal items each count; repeated documents are each judged; further columns
 are not read."""
@@ -17,7 +21,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import common
@@ -28,47 +33,55 @@ WINDOW = 10
 SHARD_WORDS = 2_000_000
 #: Every so many positions of a run have their suffix position kept.
 SAMPLE = 8
-#: Bytes of test phrases that are searched at a time; more phrases take further passes over the documents.
-BLOCK_BYTES = 64 << 20
+#: Bytes of test items that are searched at a time; more take further passes over the documents. Their phrases are arrays of
+#: about 60 bytes a word, so a block is some 50 MB in a broadcast (and 120 MB if all words have one letter).
+BLOCK_BYTES = 4 << 20
 
 LOWER = common.lower_ascii()
-SCHEMA = "row_key long, doc_id long, n_words long, spans array<struct<start:int,end:int>>, bytes array<struct<start:int,end:int>>, items array<string>"
+SCHEMA = "row_key long, row_check long, doc_id long, n_words long, spans array<struct<start:int,end:int>>, bytes array<struct<start:int,end:int>>, items array<string>"
 
 
 class Phrases:
-    """Distinct windows of test items, as numbers of their words; 0 is no word of theirs."""
+    """Distinct windows of test items, as numbers of their words; 0 is no word of theirs. All in arrays."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        found: dict[tuple[bytes, ...], set[str]] = {}
-        for item_id, text in items:
-            data, offsets = common.buffers(pa.array([text], pa.string()))
-            data = LOWER[data]
-            starts, ends, _ = common.word_spans(data, offsets, common.WORD_BYTES)
-            raw = data.tobytes()
-            words = [raw[a:b] for a, b in zip(starts, ends, strict=True)]
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                found.setdefault(tuple(words[i : i + window]), set()).add(str(item_id))
-        vocabulary = sorted({w for phrase in found for w in phrase})
-        self.words = vocabulary
-        number = {w: i + 1 for i, w in enumerate(vocabulary)}
-        raw = np.frombuffer(b"".join(vocabulary), np.uint8)
-        at = np.concatenate(([0], np.cumsum([len(w) for w in vocabulary], dtype=np.int64))).astype(np.int64)
-        hashes = common.span_hashes(raw, at[:-1], at[1:]) if len(vocabulary) else np.zeros(0, np.uint64)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.numbers = hashes[order], (order + 1).astype(np.int32)
-        self.items = [sorted(found[p]) for p in found]
-        self.lengths = np.array([len(p) for p in found], np.int64)
-        self.shortest = int(self.lengths.min()) if len(found) else 0
-        longest = int(self.lengths.max()) if len(found) else 0
-        self.codes = np.zeros((len(found), longest), np.int32)
-        for i, phrase in enumerate(found):
-            self.codes[i, : len(phrase)] = [number[w] for w in phrase]
+        data, offsets = common.buffers(pa.array([t for _, t in items], pa.string()))
+        data = LOWER[data]
+        starts, ends, first = common.word_spans(data, offsets, common.WORD_BYTES)
+        words = common.span_hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+        self.hashes, number = np.unique(words, return_inverse=True)
+        number = (number + 1).astype(np.int32)
+        size = np.diff(first)
+        own = np.minimum(size, window)  # words of an item's windows
+        count = np.where(size > 0, size - own + 1, 0)
+        item = np.repeat(np.arange(len(items)), count)
+        begin = first[item] + np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+        longest = int(own.max(initial=0))
+        codes = np.zeros((len(item), longest), np.int32)
+        for k in range(longest):
+            live = own[item] > k
+            codes[live, k] = number[begin[live] + k]
+        order = np.lexsort(codes.T) if longest else np.zeros(0, np.int64)  # equal phrases side by side
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (codes[order[1:]] != codes[order[:-1]]).any(1)
+        phrase = np.cumsum(fresh) - 1
+        self.codes = codes[order[fresh]]
+        self.lengths = (self.codes > 0).sum(1)
+        self.shortest = int(self.lengths.min(initial=longest))
+        pairs = np.unique(phrase * len(items) + item[order]) if len(items) else np.zeros(0, np.int64)
+        self.item_at = np.searchsorted(pairs, np.arange(len(self.codes) + 1) * max(len(items), 1))
+        self.item_of = (pairs % max(len(items), 1)).astype(np.int32)
+        self.names = [str(i) for i, _ in items]
+
+    def items(self, phrases: np.ndarray) -> list[str]:
+        """The ids of the items that hold any of the phrases, sorted."""
+        return sorted({self.names[i] for p in phrases.tolist() for i in self.item_of[self.item_at[p] : self.item_at[p + 1]].tolist()})
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
             return np.zeros(len(hashes), np.int32)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.numbers[at], 0).astype(np.int32)
+        return np.where(self.hashes[at] == hashes, at + 1, 0).astype(np.int32)
 
 
 class WaveletMatrix:
@@ -202,11 +215,12 @@ class Shard:
     def __init__(self, phrases: Phrases):
         self.phrases, self.docs, self.parts, self.words = phrases, [], [], 0
 
-    def add(self, keys: np.ndarray, ids: list[int | None], data: np.ndarray, offsets: np.ndarray) -> None:
+    def add(self, keys: list[tuple], data: np.ndarray, offsets: np.ndarray) -> None:
+        """Rows of text, each with a key that comes back with its result."""
         data = LOWER[data]
         starts, ends, first = common.word_spans(data, offsets, common.WORD_BYTES)
         base = len(self.docs)
-        self.docs += list(zip(keys.tolist(), ids, np.diff(first).tolist(), strict=True))
+        self.docs += [(*key, n) for key, n in zip(keys, np.diff(first).tolist(), strict=True)]
         self.words += len(starts)
         shortest = self.phrases.shortest
         if not shortest or not len(starts):
@@ -251,68 +265,85 @@ class Shard:
                 d = int(doc[position[group[0]]])
                 spans[d] = merged(word[position[group]], word[last[group]] + 1)
                 places[d] = merged(start[position[group]], end[last[group]])
-                items[d] = sorted({x for p in np.unique(phrase[group]) for x in self.phrases.items[p]})
-        for i, (key, doc_id, n) in enumerate(self.docs):
-            yield key, doc_id, n, spans.get(i, []), places.get(i, []), items.get(i, [])
+                items[d] = self.phrases.items(np.unique(phrase[group]))
+        for i, doc in enumerate(self.docs):
+            yield *doc, spans.get(i, []), places.get(i, []), items.get(i, [])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     columns = list(zip(*rows, strict=True))
-    pairs = [[[{"start": a, "end": b} for a, b in x] for x in columns[i]] for i in (3, 4)]
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(pairs[0], span), pa.array(pairs[1], span), pa.array(columns[5], pa.list_(pa.string()))], ["row_key", "doc_id", "n_words", "spans", "bytes", "items"])
+    pairs = [[[{"start": a, "end": b} for a, b in x] for x in columns[i]] for i in (4, 5)]
+    return pa.RecordBatch.from_arrays([*[pa.array(columns[i], pa.int64()) for i in range(4)], pa.array(pairs[0], span), pa.array(pairs[1], span), pa.array(columns[6], pa.list_(pa.string()))], ["row_key", "row_check", "doc_id", "n_words", "spans", "bytes", "items"])
 
 
-def searcher(phrases: Phrases, shard_words: int = SHARD_WORDS):
-    """Arrow batches of (row_key, doc_id, text) to batches of SCHEMA, a shard of documents at a time."""
+def searcher(phrases: Broadcast, shard_words: int = SHARD_WORDS):
+    """Arrow batches of (row_key, row_check, doc_id, text) to batches of SCHEMA, a shard of documents at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard(phrases)
+        shard = Shard(phrases.value)
         for batch in batches:
-            keys, ids = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            data, offsets = common.buffers(batch.column(2))
+            data, offsets = common.buffers(batch.column(3))
             for a, b in common.steps(offsets):
-                shard.add(keys[a:b], ids[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                keys = list(zip(*[batch.column(i).slice(a, b - a).to_pylist() for i in range(3)], strict=True))
+                shard.add(keys, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 if shard.words >= shard_words:
                     yield _batch(list(shard.rows()))
-                    shard = Shard(phrases)
+                    shard = Shard(phrases.value)
         if shard.docs:
             yield _batch(list(shard.rows()))
 
     return run
 
 
-def blocks(benchmark: DataFrame, id_column: str, text_column: str, most: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str | None]]]:
-    """The test items in blocks of a bounded size, one at a time on the driver."""
-    held, size = [], 0
+def blocks(benchmark: DataFrame, id_column: str, text_column: str, window: int = WINDOW, most: int = BLOCK_BYTES) -> list[Broadcast]:
+    """The phrases of blocks of test items, each of a bounded size; the driver holds one block at a time."""
+    send, held, size, out = benchmark.sparkSession.sparkContext.broadcast, [], 0, []
     for item_id, text in benchmark.select(id_column, text_column).toLocalIterator():
-        if held and size + len(text or "") > most:
-            yield held
+        own = len((text or "").encode())
+        if held and size + own > most:
+            out.append(send(Phrases(held, window)))
             held, size = [], 0
         held.append((item_id, text))
-        size += len(text or "")
-    yield held
+        size += own
+    return [*out, send(Phrases(held, window))]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: row_key, doc_id, n_words, merged word spans, merged byte spans (of UTF-8), items. Each block of test
-    items takes a pass over the documents; the usual single block needs no shuffle at all."""
-    source = docs.select(F.xxhash64(F.col(doc_id)).alias("row_key"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    passes = [source.mapInArrow(common.tidy(searcher(Phrases(block, window), shard_words)), SCHEMA) for block in blocks(benchmark, item_id, item_text, block_bytes)]
-    return passes[0] if len(passes) == 1 else _combined(docs, benchmark, passes)
-
+def _keys(*columns: Column) -> list[Column]:
+    """A 128-bit hash of columns."""
+    return [F.xxhash64(*columns), F.xxhash64(F.lit("check"), *columns)]
 
-def _combined(docs: DataFrame, benchmark: DataFrame, passes: list[DataFrame]) -> DataFrame:
-    """Results of several blocks by document; the rows of one document id are told apart by their order of spans only,
-    so repeated ids keep their row count through their number within the id."""
-    from pyspark.sql import Window
 
-    out = None
-    for one in passes:
-        one = one.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("n_words", F.col("spans"))))
-        out = one if out is None else out.unionByName(one)
-    merge = F.udf(lambda lists: [(a, b) for a, b in merged(np.array([x[0] for y in lists for x in y], np.int64), np.array([x[1] for y in lists for x in y], np.int64))], "array<struct<start:int,end:int>>")
-    return out.groupBy("row_key", "doc_id", "nth", "n_words").agg(merge(F.collect_list("spans")).alias("spans"), merge(F.collect_list("bytes")).alias("bytes"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).drop("nth")
+def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per document: row_key, row_check, doc_id, n_words, merged word spans, merged byte spans (of UTF-8), items. Each block
+    of test items takes a pass over the documents; the usual single block needs no shuffle at all."""
+    key, check = _keys(F.col(doc_id).cast("long"), F.col(text).cast("string"))
+    source = docs.select(key.alias("row_key"), check.alias("row_check"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    passes = [source.mapInArrow(common.tidy(searcher(block, shard_words)), SCHEMA) for block in blocks(benchmark, item_id, item_text, window, block_bytes)]
+    return passes[0] if len(passes) == 1 else _combined(passes)
+
+
+def _combined(passes: list[DataFrame]) -> DataFrame:
+    """Results of several blocks. Rows of equal keys are equal in id and text, so every pass says the same of each: the
+    hits of one of them stand for all, and the first pass gives the rows."""
+    own = ["row_key", "row_check"]
+    hits = passes[0].where(F.size("items") > 0).dropDuplicates(own)
+    for one in passes[1:]:
+        hits = hits.unionByName(one.where(F.size("items") > 0).dropDuplicates(own))
+
+    def union(name: str) -> DataFrame:
+        """The spans of a key, sorted, where they meet joined."""
+        each = hits.select(*own, F.explode(name).alias("s")).select(*own, F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+        order = Window.partitionBy(*own).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+        each = each.withColumn("fresh", F.when(F.col("start") <= F.max("end").over(order), 0).otherwise(1))
+        each = each.withColumn("part", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        joined = each.groupBy(*own, "part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        return joined.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(name))
+
+    items = hits.select(*own, F.explode("items").alias("item")).groupBy(*own).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found = union("spans").join(union("bytes"), own).join(items, own)
+    none = lambda c: F.coalesce(c, F.array().cast(passes[0].schema[c].dataType)).alias(c)
+    return passes[0].select(*own, "doc_id", "n_words").join(found, own, "left").select(*own, "doc_id", "n_words", none("spans"), none("bytes"), none("items"))
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -321,33 +352,65 @@ def report(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
-def _cut(phrases: Phrases, at: int):
-    """Arrow batches with a text column to the same without the words that occurrences cover; n_chars follows."""
+def _without(raw: bytes, places: list[tuple[int, int]]) -> str:
+    out, end = [], 0
+    for a, b in places:
+        out.append(raw[end:a])
+        end = b
+    return b"".join([*out, raw[end:]]).decode("utf-8", "replace")
+
+
+def _cut(phrases: Broadcast, at: int):
+    """Arrow batches with a text column to the same without the words that occurrences cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = common.buffers(batch.column(at))
-            texts = batch.column(at).to_pylist()
             for a, b in common.steps(offsets):
-                shard = Shard(phrases)
-                shard.add(np.arange(a, b), [None] * (b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                for key, _, _, _, places, _ in shard.rows():
-                    if places:
-                        raw, out, end = data[offsets[key] : offsets[key + 1]].tobytes(), [], 0
-                        for x, y in places:
-                            out.append(raw[end:x])
-                            end = y
-                        texts[key] = b"".join([*out, raw[end:]]).decode("utf-8", "replace")
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+                shard = Shard(phrases.value)
+                shard.add([(i,) for i in range(a, b)], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                yield _replaced(batch.slice(a, b - a), at, {i - a: _without(data[offsets[i] : offsets[i + 1]].tobytes(), places) for i, _, _, places, _ in shard.rows() if places})
 
     return run
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+def _cut_there(at: int):
+    """Arrow batches whose last column holds byte spans, to the same without the spans and without that column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = common.buffers(batch.column(at))
+            for a, b in common.steps(offsets):
+                part = batch.slice(a, b - a)
+                fresh = {i: _without(data[offsets[a + i] : offsets[a + i + 1]].tobytes(), [(s["start"], s["end"]) for s in spans]) for i, spans in enumerate(part.column(part.num_columns - 1).to_pylist()) if spans}
+                yield _replaced(part.select(range(part.num_columns - 1)), at, fresh)
+
+    return run
+
+
+def _replaced(part: pa.RecordBatch, at: int, fresh: dict[int, str]) -> pa.RecordBatch:
+    if not fresh:
+        return part
+    texts = part.column(at).to_pylist()
+    for i, text in fresh.items():
+        texts[i] = text
+    return part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+
+
+def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without the merged removal spans, all columns kept; `n_chars`, if there, is counted anew."""
-    out = docs
-    for block in blocks(benchmark, item_id, item_text):
-        out = out.mapInArrow(common.tidy(_cut(Phrases(block, window), docs.columns.index(text))), docs.schema)
+    found = blocks(benchmark, item_id, item_text, window, block_bytes)
+    at = docs.columns.index(text)
+    if len(found) == 1:
+        out = docs.mapInArrow(common.tidy(_cut(found[0], at)), docs.schema)
+    else:
+        key, check = _keys(F.col(text).cast("string"))
+        source = docs.select(key.alias("row_key"), check.alias("row_check"), F.lit(None).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+        hits = _combined([source.mapInArrow(common.tidy(searcher(block)), SCHEMA) for block in found]).where(F.size("bytes") > 0).dropDuplicates(["row_key", "row_check"])
+        free = common.free_names(docs.columns, "row_key", "row_check", "bytes")
+        own = docs.select("*", key.alias(free[0]), check.alias(free[1]))
+        spans = own.join(hits.select(*[F.col(c).alias(x) for c, x in zip(("row_key", "row_check", "bytes"), free, strict=True)]), free[:2], "left").select(*docs.columns, free[2])
+        out = spans.mapInArrow(common.tidy(_cut_there(at)), docs.schema)
     return out.withColumn("n_chars", F.when(F.col(text).isNull(), F.col("n_chars")).otherwise(F.char_length(text)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
