@@ -65,11 +65,30 @@ class Shared:
             self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self) -> None:
-        for path in self.paths:
+    def drop(self, keep: int = 0) -> None:
+        """Deletes the tables, but for so many of the last."""
+        at = len(self.paths) - keep
+        for path in self.paths[:at]:
             delete(self.spark, path)
+        self.paths = self.paths[at:]
+
+    def keep(self) -> None:
+        """Leaves the tables until the driver ends."""
+        self._kept += [_place(self.spark, path) for path in self.paths]
         self.paths = []
 
+    @classmethod
+    def kept(cls) -> int:
+        """How many tables are kept until the driver ends."""
+        return len(cls._kept)
+
+    @classmethod
+    def release(cls, since: int) -> None:
+        """Deletes those kept after the first so many: what reads them has been written."""
+        for files, at in cls._kept[since:]:
+            files.delete(at, True)
+        del cls._kept[since:]
+
 
 def _place(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

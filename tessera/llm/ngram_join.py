@@ -1,8 +1,8 @@
 """N-gram Jaccard join of documents, by rare-first prefix filtering.
 
 1. Every document's set of five-word shingles (64-bit hashes) is digested; documents with equal sets are one node. Counts of
-   all shingles go to a sketch of a fixed size, which orders shingles rare-first. (Counts that share a cell only spoil the
-   order, never the result: any order that is the same for all sets is right.)
+   all shingles go to a sketch, sized to the input within bounds, which orders shingles rare-first. (Counts that share a
+   cell only spoil the order, never the result: any order that is the same for all sets is right.)
 2. Each node sends the rarest shingles of its set, as many as two sets of the wanted similarity must share one of, in
    packed columns to the bucket of the shingle. A bucket keeps shingles of two nodes or more and pairs each node
    with the most central one, by length and positional filter.
@@ -31,9 +31,13 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 
 WORDS, PERCENT = 5, 75
-#: Cells of the sketch of shingle counts, and the blocks that tasks send it in: 4 MB in all, whatever the input.
-CELLS, BLOCKS = 1 << 20, 64
-#: Prefix entries of a bucket, about; a shingle that the sketch counts more often than HOT is dealt over several buckets.
+#: Fewest and most cells of the sketch of shingle counts (a byte each where it is read, four where it is counted), words of
+#: text for a cell between those, and the blocks that tasks send it in.
+CELLS, MOST_CELLS, CELL_WORDS, BLOCKS = 1 << 20, 1 << 23, 64, 64
+#: Steps of a doubling of a count, as cells keep their counts.
+STEPS = 8
+#: Prefix entries of a bucket, about; a shingle that the sketch counts more often than HOT, beyond what the typical cell
+#: holds, is dealt over several buckets.
 BUCKET_ENTRIES, HOT = 1_000_000, 500_000
 #: Hash ranges of the suffix filter.
 RANGES = 32
@@ -77,13 +81,18 @@ def least_overlap(a: Column, b: Column, percent: int) -> Column:
 FIRST = "kind int, doc_id long, row_key long, n long, node long, check long, ranges array<int>, block int, data binary"
 
 
-def digester(k: int, seed: int):
-    """(doc_id, row_key, text) to rows of kind 0, one a document, and of kind 1, the task's share of the sketch."""
+def cells_of(size: int) -> int:
+    """Cells of the sketch for so many bytes of text."""
+    return min(MOST_CELLS, max(CELLS, 1 << max(0, size // 6 // CELL_WORDS - 1).bit_length()))
+
+
+def digester(k: int, seed: int, size: int):
+    """(doc_id, row_key, text) to rows of kind 0, one a document, and of kind 1, the task's share of a sketch of a size."""
     fields = ["kind", "doc_id", "row_key", "n", "node", "check", "ranges", "block", "data"]
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.uint32)
+        cells = np.zeros(size, np.uint32)
         for batch in batches:
             ids, keys = batch.column(0), batch.column(1)
             data, offsets = common.buffers(batch.column(2))
@@ -96,7 +105,7 @@ def digester(k: int, seed: int):
                     check.append(y)
                     ranges.append(np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=RANGES).astype(np.int32))
                     every.append(everything)
-                np.add(cells, np.bincount((np.concatenate(every) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32), out=cells)
+                np.add.at(cells, (np.concatenate(every) & np.uint64(size - 1)).astype(np.int64), np.uint32(1))
                 m = b - a
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, RANGES * m + 1, RANGES, dtype=np.int32)), pa.array(np.concatenate(ranges)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), ids.slice(a, m), keys.slice(a, m), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), lists, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], fields)
@@ -107,22 +116,19 @@ def digester(k: int, seed: int):
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of the sketch summed as they stream by."""
+    """Blocks of the sketch summed as they stream by, and then a byte a cell: STEPS times the logarithm of the count."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             own = np.frombuffer(zlib.decompress(data.as_py()), np.uint32).astype(np.uint64)
             total[block] = total[block] + own if block in total else own
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "data"])
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.rint(STEPS * np.log2(1.0 + x)).clip(0, 255).astype(np.uint8).tobytes() for x in total.values()], pa.binary())], ["block", "data"])
 
 
 def sketch(first: DataFrame) -> np.ndarray:
-    """Counts of shingles by cell, over all documents; a fixed 8 MB on the driver."""
+    """Counts of shingles by cell, over all documents, as logarithms: MOST_CELLS bytes on the driver at most."""
     rows = first.where("kind = 1").select("block", "data").repartition(BLOCKS, "block").mapInArrow(common.tidy(_added), "block int, data binary").collect()
-    cells = np.zeros((BLOCKS, CELLS // BLOCKS), np.uint64)
-    for r in rows:
-        cells[r["block"]] += np.frombuffer(r["data"], np.uint64)
-    return cells.reshape(-1)
+    return np.frombuffer(b"".join(bytes(r["data"]) for r in sorted(rows, key=lambda r: r["block"])), np.uint8) if rows else np.zeros(CELLS, np.uint8)
 
 
 #: Marks an entry whose shingle is dealt over several buckets, beside the number of the shingle's own bucket.
@@ -153,15 +159,17 @@ def prefixes(counts, k: int, percent: int, seed: int, buckets: int, hot: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, seen, held, size = counts.value, set(), [], 0
+        usual = 2.0 ** (float(np.median(cells)) / STEPS) - 1  # of a cell's count, what unrelated shingles make up
 
         def flush() -> pa.RecordBatch:
             gram, node, n, at, rank, often = (np.concatenate(x) for x in zip(*held, strict=True))
             home = (gram >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
             bucket = home.astype(np.int64)
             home = home.astype(np.uint32)
+            often = np.exp2(often / STEPS) - 1 - usual
             spread = often > hot
             if spread.any():  # a hot shingle goes to as many buckets as it fills, by the node
-                ways = -(-often[spread].astype(np.int64) // hot)
+                ways = np.ceil(often[spread] / hot).astype(np.int64)
                 salt = (common.mix(node[spread].view(np.uint64)) >> np.uint64(1)).astype(np.int64) % ways
                 key = common.mix(gram[spread] + salt.astype(np.uint64))
                 bucket[spread] = ((key >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
@@ -183,10 +191,10 @@ def prefixes(counts, k: int, percent: int, seed: int, buckets: int, hot: int):
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(node)
-                    often = cells[(own & np.uint64(CELLS - 1)).astype(np.int64)]
+                    often = cells[(own & np.uint64(len(cells) - 1)).astype(np.int64)]
                     m = prefix_length(len(own), percent)
-                    order = np.argsort(np.minimum(often, (1 << 24) - 1) << np.uint64(40) | own >> np.uint64(24), kind="stable")[:m]
-                    central = int(64 * float(np.log2(1.0 + often).mean()))
+                    order = np.argsort(often.astype(np.uint64) << np.uint64(56) | own >> np.uint64(8), kind="stable")[:m]
+                    central = int(64 / STEPS * float(often.mean()))
                     held.append((own[order], np.full(m, node, np.int64), np.full(m, len(own), np.int64), np.arange(m), np.full(m, central, np.int64), often[order]))
                     size += m
                 if size >= HELD:
@@ -280,7 +288,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, perce
 
 def components(edges: DataFrame, shared: common.Shared) -> DataFrame:
     """(node, label) for every node of the edges (a, b); the label is the component's smallest node."""
-    now = shared.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    rounds = common.Shared(shared.spark)
+    now = rounds.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     mark = None
     while True:
         both = now.union(now.select("v", "u"))
@@ -289,11 +298,13 @@ def components(edges: DataFrame, shared: common.Shared) -> DataFrame:
         large = large.union(low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        now = shared.write(small)
+        now = rounds.write(small)
+        rounds.drop(keep=1)
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == mark:
             break
         mark = state
+    shared.paths += rounds.paths  # the last round, which the result reads
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
@@ -309,7 +320,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = W
     shared = common.Shared(spark)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     keyed = texts.select("doc_id", row_key("doc_id", "text").alias("row_key"), "text")
-    first = shared.write(keyed.mapInArrow(common.tidy(digester(k, seed)), FIRST), keep=True)
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    first = shared.write(keyed.mapInArrow(common.tidy(digester(k, seed, cells_of(size))), FIRST), keep=True)
     own = first.where("kind = 0 AND n > 0")
     nodes = shared.write(own.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row_key").alias("row_key"), F.min("n").alias("n"), F.min("check").alias("check"), F.max("check").alias("most"), F.first("ranges").alias("ranges")))
     facts = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum((F.col("check") != F.col("most")).cast("long")), F.lit(0)).alias("clashes")).first()
