@@ -128,7 +128,7 @@ class Generator:
 
     def negative(self) -> str:
         d = self.digits
-        return self.pick(f"19{d(2)}", f"20{d(2)}", f"v{d(1)}.{d(1)}.{d(2)}", f"{d(1)}.{d(1)}.{d(1)}", f"{d(2)},{d(3)}", f"${d(2)}.{d(2)}", f"20{d(2)}-0{d(1)}-1{d(1)}", f"{d(2)}:{d(2)}", "4.0.", "2.0", "version 3.", f"{d(2)}%", f"{d(5)}", f"@{self.word()}", f"{d(8)}", f"{d(1)} {d(2)} {d(3)}", f"({d(4)})", f"{d(1)}. {d(2)}. {d(4)}", f"#{self.token('0123456789abcdef', 6)}", f"/{self.word()}/{d(4)}.html", "=" * 12, "-" * 9, "_" * 7, f"({self.word()})", f'"{self.word()}"', f"{self.word()} = {d(2)}")
+        return self.pick(f"19{d(2)}", f"20{d(2)}", f"v{d(1)}.{d(1)}.{d(2)}", f"{d(1)}.{d(1)}.{d(1)}", f"{d(2)},{d(3)}", f"${d(2)}.{d(2)}", f"20{d(2)}-0{d(1)}-1{d(1)}", f"20{d(2)}-1{d(1)}-0{d(1)}", f"19{d(2)}-0{d(1)}-2{d(1)}", f"{d(2)}.{d(2)}.20{d(2)}", f"{d(2)}/{d(2)}/20{d(2)}", f"{d(2)}:{d(2)}", "4.0.", "2.0", "version 3.", f"{d(2)}%", f"{d(5)}", f"@{self.word()}", f"{d(8)}", f"{d(1)} {d(2)} {d(3)}", f"({d(4)})", f"{d(1)}. {d(2)}. {d(4)}", f"#{self.token('0123456789abcdef', 6)}", f"/{self.word()}/{d(4)}.html", "=" * 12, "-" * 9, "_" * 7, f"({self.word()})", f'"{self.word()}"', f"{self.word()} = {d(2)}")
 
     def stretch(self, least: int) -> tuple[str, np.ndarray]:
         """Text with the label of each character, 0 outside; some stretches are prose without any span."""
@@ -136,7 +136,7 @@ class Generator:
         share = self.pick(0.0, 0.08, 0.2, 0.2)
         while len(text) < least:
             roll = self.rng.random()
-            kind, before, piece, behind = self.positive() if roll < share else (-1, "", self.negative() if roll < share + self.pick(0.02, 0.2) else self.word(), "")
+            kind, before, piece, behind = self.positive() if roll < share else (-1, "", self.negative() if roll < share + self.pick(0.04, 0.25) else self.word(), "")
             text += before + piece + behind + gap
             tags += [0] * len(before) + [kind + 1] * len(piece) + [0] * (len(behind) + len(gap))
         return text[:least], np.array(tags[:least])
@@ -144,16 +144,16 @@ class Generator:
 
 # --- the network -----------------------------------------------------------------------------------------------------
 
-EMBED, HIDDEN, TAGS = 10, 14, len(LABELS) + 1
-#: Characters of a window, and of its overlap with the next.
-WINDOW, OVERLAP = 256, 32
+EMBED, HIDDEN, TAGS = 10, 12, len(LABELS) + 1
+#: Characters of a window, and of its overlap with the next; the last window of a text ends with it.
+WINDOW, OVERLAP = 512, 32
 STRIDE = WINDOW - OVERLAP
 #: Windows whose scores are made at a time, and that step through the network together.
-BLOCK, TOGETHER = 4096, 1024
+BLOCK, TOGETHER = 2048, 512
 #: Characters of a chunk of the search for the best path, and chunks searched together.
 CHUNK, CHUNKS = 512, 512
 #: Training: stretches and their length, rounds over them, batch, rate, seed.
-STRETCHES, STRETCH, EPOCHS, BATCH, RATE, SEED = 1536, 112, 14, 64, 0.02, 11
+STRETCHES, STRETCH, EPOCHS, BATCH, RATE, SEED = 2048, 112, 14, 64, 0.02, 11
 
 #: Code of a character by the first byte of its UTF-8: ASCII as it is, 128 for Latin letters beyond, 129 for the rest.
 _CODE = np.arange(256, dtype=np.uint8)
@@ -291,15 +291,14 @@ def weights() -> dict[str, np.ndarray]:
 
 
 class Reader:
-    """The network as tables: what a character adds to the gates of either direction is one column. The gates run through
-    tanh alone, as sigmoid(x) = (1 + tanh(x / 2)) / 2."""
+    """The network with windows side by side: the gates of a step are one product of a matrix with the hidden states, the
+    embedded characters and a row of ones. They run through tanh alone, as sigmoid(x) = (1 + tanh(x / 2)) / 2."""
 
     def __init__(self, p: dict[str, np.ndarray]):
         half = np.concatenate((np.full(3 * HIDDEN, 0.5), np.ones(HIDDEN))).astype(np.float32)
-        self.side = []
-        for side, low in (("f", 0), ("b", HIDDEN)):
-            table = ((p["e"] @ p[f"w{side}"] + p[f"b{side}"]) * half).T
-            self.side.append((np.ascontiguousarray(table), np.ascontiguousarray((p[f"u{side}"] * half).T), np.ascontiguousarray(p["v"][low : low + HIDDEN])))
+        gates = lambda side: np.ascontiguousarray((np.concatenate((p[f"u{side}"], p[f"w{side}"], p[f"b{side}"][None])) * half).T)
+        self.sides = [(gates("f"), np.ascontiguousarray(p["v"][:HIDDEN].T)), (gates("b"), np.ascontiguousarray(p["v"][HIDDEN:].T))]
+        self.embedded = np.ascontiguousarray(p["e"].T)
         self.bias, self.move = p["c"], p["t"].astype(np.float32)
         t = p["t"].astype(np.float64)
         # what a path can win by transitions: by one character that is not outside, by each further one, and by a run's ends
@@ -307,55 +306,70 @@ class Reader:
         self.more = float(t[1:, 1:].max() - t[0, 0])
         self.ends = float(t[0, 1:].max() + t[1:, 0].max() - 2 * t[0, 0]) - self.more
 
-    def _run(self, total: np.ndarray, codes: np.ndarray, at: np.ndarray, length: np.ndarray, side: int) -> None:
-        """Adds to total the scores of one direction over windows that begin (side 0) or end (side 1) at places. Lengths
-        fall, so the windows that still run are the first ones."""
-        table, u, v = self.side[side]
-        n, h = len(at), HIDDEN
-        hidden, cell = np.zeros((h, n), np.float32), np.zeros((h, n), np.float32)
-        running = np.searchsorted(-length, -np.arange(int(length[0])), "left")
-        for t in range(int(length[0])):
-            m = int(running[t])
-            if m < hidden.shape[1]:
-                hidden, cell = np.ascontiguousarray(hidden[:, :m]), np.ascontiguousarray(cell[:, :m])
-            place = at[:m] + t if side == 0 else at[:m] - 1 - t
-            z = u @ hidden
-            z += np.take(table, codes[place], axis=1)
+    def _run(self, steps: np.ndarray, side: int) -> np.ndarray:
+        """The scores of one direction, (step, tag, window), of the characters (step, window) in its order."""
+        gates, v = self.sides[side]
+        n, h = steps.shape[1], HIDDEN
+        inputs = np.ones((h + EMBED + 1, n), np.float32)
+        hidden, embedded = inputs[:h], inputs[h:-1]
+        hidden[:] = 0
+        cell, z, fresh = np.zeros((h, n), np.float32), np.empty((4 * h, n), np.float32), np.empty((h, n), np.float32)
+        out = np.empty((len(steps), TAGS, n), np.float32)
+        squashed = z[: 3 * h]
+        for t, now in enumerate(steps):
+            np.take(self.embedded, now, axis=1, out=embedded, mode="clip")
+            np.matmul(gates, inputs, out=z)
             np.tanh(z, out=z)
-            gates = z[: 3 * h]
-            gates *= 0.5
-            gates += 0.5
-            z[:h] *= z[3 * h :]
+            squashed *= 0.5
+            squashed += 0.5
+            np.multiply(z[:h], z[3 * h :], out=fresh)
             cell *= z[h : 2 * h]
-            cell += z[:h]
+            cell += fresh
             np.tanh(cell, out=hidden)
             hidden *= z[2 * h : 3 * h]
-            total[place] += hidden.T @ v
+            np.matmul(v, hidden, out=out[t])
+        return out
 
     def scores(self, codes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(first place, scores by place and tag) of consecutive parts of rows of characters."""
         size = np.diff(bounds)
-        count = np.where(size > 0, np.maximum(1, -(-(size - OVERLAP) // STRIDE)), 0)
+        count = np.where(size > 0, 1 + np.maximum(0, -(-(size - WINDOW) // STRIDE)), 0)
         row = np.repeat(np.arange(len(size)), count)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        start = bounds[row] + nth * STRIDE
+        start = bounds[row] + np.minimum(nth * STRIDE, np.maximum(size[row] - WINDOW, 0))
         end = np.minimum(start + WINDOW, bounds[row + 1])
         for a in range(0, len(row), BLOCK):
             b = min(a + BLOCK, len(row))
-            first = a - 1 if a and nth[a] else a  # the window before reaches into the first characters
-            low, high = int(start[first]), int(end[b - 1])
+            # windows before and behind reach into the part, which ends where the window behind begins
+            first, last = a, b
+            while first and nth[first] and end[first - 1] > start[a]:
+                first -= 1
+            low, high = int(start[first]), int(end[last - 1])
             total, seen = np.zeros((high - low, TAGS), np.float32), np.zeros(high - low + 1, np.int32)
-            np.add.at(seen, start[first:b] - low, 1)
-            np.add.at(seen, end[first:b] - low, -1)
-            order = first + np.argsort(start[first:b] - end[first:b], kind="stable")
+            np.add.at(seen, start[first:last] - low, 1)
+            np.add.at(seen, end[first:last] - low, -1)
+            order = first + np.argsort(start[first:last] - end[first:last], kind="stable")  # windows of like length
             for k in range(0, len(order), TOGETHER):
                 w = order[k : k + TOGETHER]
-                self._run(total, codes[low:high], start[w] - low, end[w] - start[w], 0)
-                self._run(total, codes[low:high], end[w] - low, end[w] - start[w], 1)
+                at, till = start[w], end[w]
+                steps = np.arange(int(till[0] - at[0]))[:, None]
+                forward = self._run(codes[np.minimum(at + steps, till - 1)], 0)
+                backward = self._run(codes[np.maximum(till - 1 - steps, at)], 1)
+                alike = int(till[-1] - at[-1]) == len(steps)
+                if alike:
+                    forward += backward[::-1]
+                else:
+                    backward = np.ascontiguousarray(backward.transpose(2, 0, 1))
+                forward = np.ascontiguousarray(forward.transpose(2, 0, 1))
+                for j, (x, y) in enumerate(zip((at - low).tolist(), (till - low).tolist(), strict=True)):
+                    own = total[x:y]
+                    own += forward[j, : y - x]
+                    if not alike:
+                        own += backward[j, y - x - 1 :: -1]
             total /= np.cumsum(seen[:-1])[:, None].astype(np.float32)
             total += self.bias
-            keep, till = int(start[a]), int(start[b]) if b < len(row) and nth[b] else high
-            yield keep, total[keep - low : till - low]
+            keep, stop = int(start[a]), int(start[b]) if b < len(row) and nth[b] else high
+            yield keep, total[keep - low : stop - low]
 
     def tags(self, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of characters, and their tags on the best paths of their rows; outside are all others."""

@@ -101,7 +101,8 @@ def slow_tags(p, text):
 
     code = pii.text_codes(text).astype(np.int64)
     total, seen = np.zeros((len(code), pii.TAGS)), np.zeros((len(code), 1))
-    starts = [k for k in range(0, len(code), pii.STRIDE) if not k or k + pii.OVERLAP < len(code)]
+    last = max(0, len(code) - pii.WINDOW)
+    starts = [k for k in range(0, last, pii.STRIDE)] + [last] * (len(code) > 0)
     whole = [k for k in starts if k + pii.WINDOW <= len(code)]
     for group in ([whole] if whole else []) + [[k] for k in starts if k not in set(whole)]:
         score, _ = pii.emissions(p, np.stack([code[k : k + pii.WINDOW] for k in group], 1))
