@@ -23,7 +23,9 @@ def code_units(text: Column) -> Column:
 
 def string_hash(text: Column) -> Column:
     """The 31-polynomial hash of a string."""
-    return F.when(text == "", F.lit(0).cast("bigint")).otherwise(F.aggregate(code_units(text), F.lit(0).cast("bigint"), lambda h, c: wrap(h * 31 + c)))
+    # the sum stays below 2^37 and is cut to 32 bits at each step; its sign is set once
+    total = F.aggregate(code_units(text), F.lit(0).cast("bigint"), lambda h, c: (h * 31 + c).bitwiseAND(F.lit(0xFFFFFFFF)), wrap)
+    return F.when(text == "", F.lit(0).cast("bigint")).otherwise(total)
 
 
 def seeded(base: Column, seed: int) -> Column:

@@ -4,11 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a chunk that one task orders when it encodes.
 CHUNK = 1 << 16
+#: Ids that one array holds when a run is cut into ids or buckets.
+BLOCK = 1 << 16
+
+
+def _numbers(runs: DataFrame, low: Column, high: Column, name: str) -> DataFrame:
+    """A row for each number from low to high. Long stretches go block by block, and blocks are dealt to tasks: a generated
+    stage holds all that one of its input rows explodes to, so no row may explode to more than a block."""
+    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = runs.withColumns({"_low": low.cast("long"), "_high": high.cast("long")})
+    short = own.where(F.col("_high") - F.col("_low") < BLOCK).withColumn(name, F.explode(F.sequence("_low", "_high")))
+    long = own.where(F.col("_high") - F.col("_low") >= BLOCK)
+    for to, size in (("_outer", BLOCK * BLOCK), ("_block", BLOCK)):
+        a, b = F.floor(F.col("_low") / size), F.floor(F.col("_high") / size)
+        if to == "_block":
+            a, b = F.greatest(a, F.col("_outer") * BLOCK), F.least(b, F.col("_outer") * BLOCK + (BLOCK - 1))
+        long = long.withColumn(to, F.explode(F.sequence(a, b))).repartition(parts, "_low", to)
+    first = F.col("_block") * BLOCK
+    long = long.withColumn(name, F.explode(F.sequence(F.greatest(F.col("_low"), first), F.least(F.col("_high"), first + (BLOCK - 1))))).drop("_outer", "_block")
+    return short.unionByName(long).drop("_low", "_high")
 
 
 def _same(columns: Sequence[str], order: Window) -> Column:
@@ -43,8 +63,9 @@ def values_of(runs: DataFrame) -> list[str]:
 
 
 def decode(runs: DataFrame, vid: str = "vid") -> DataFrame:
-    """One row for each id of each run."""
-    return runs.where("length > 0").select(F.explode(F.sequence(F.col("start_vid"), F.col("start_vid") + F.col("length") - 1)).alias(vid), *values_of(runs))
+    """One row for each id of each run, whatever its length."""
+    out = _numbers(runs.where("length > 0"), F.col("start_vid"), F.col("start_vid") + F.col("length") - 1, "_vid")
+    return out.select(F.col("_vid").alias(vid), *values_of(runs))
 
 
 def filter_runs(runs: DataFrame, condition: Column | str) -> DataFrame:
@@ -60,20 +81,25 @@ def project_runs(runs: DataFrame, *exprs: Column | str) -> DataFrame:
 def reconstruct(left: DataFrame, right: DataFrame, width: int | None = None) -> DataFrame:
     """Runs of both sides' values over the ids that both have. Ids are cut into buckets, runs meet by bucket, and a pair
     counts in the bucket where its overlap begins. Without a width, it is the longer mean length of the two sides, with
-    which neither side grows to more than twice its runs, plus one row a run."""
-    if width is None:
-        means = [x.agg(F.avg("length")).first()[0] or 1 for x in (left, right)]
-        width = max(1, round(max(means)))
+    which neither side grows to more than twice its runs, plus one row a run. That width is a column of the same plan (an
+    aggregate of a row), so no side is run beforehand; where a side is read more than once, Spark reuses its exchange."""
     last = F.col("start_vid") + F.col("length") - 1
+    if width is None:
+        means = left.select("length", F.lit(0).alias("_side")).unionByName(right.select("length", F.lit(1).alias("_side")))
+        found = means.groupBy("_side").agg(F.avg("length").alias("m")).agg(F.greatest(F.lit(1), F.round(F.max("m"))).cast("long").alias("_width"))
+        left, right, wide = left.crossJoin(F.broadcast(found)), right.crossJoin(F.broadcast(found)), F.col("_width")  # one row
+    else:
+        wide = F.lit(width).cast("long")
 
     def bucketed(df: DataFrame, side: str) -> DataFrame:
-        values = values_of(df)
-        return df.where("length > 0").select(F.col("start_vid").alias(f"_{side}_s"), last.alias(f"_{side}_e"), *values, F.explode(F.sequence(F.floor(F.col("start_vid") / width), F.floor(last / width))).alias("_bucket"))
+        own = df.where("length > 0").withColumn("_w", wide)
+        cut = _numbers(own, F.floor(F.col("start_vid") / F.col("_w")), F.floor(last / F.col("_w")), "_bucket")
+        return cut.select(F.col("start_vid").alias(f"_{side}_s"), last.alias(f"_{side}_e"), F.col("_w").alias(f"_{side}_w"), *[c for c in values_of(df) if c != "_width"], "_bucket")
 
     both = bucketed(left, "l").join(bucketed(right, "r"), "_bucket")
     start, end = F.greatest("_l_s", "_r_s"), F.least("_l_e", "_r_e")
-    met = both.where((start <= end) & (F.floor(start / width) == F.col("_bucket")))
-    return met.select(start.alias("start_vid"), (end - start + 1).alias("length"), *values_of(left), *values_of(right))
+    met = both.where((start <= end) & (F.floor(start / F.col("_l_w")) == F.col("_bucket")))
+    return met.select(start.alias("start_vid"), (end - start + 1).alias("length"), *[c for x in (left, right) for c in values_of(x) if c != "_width"])
 
 
 def weighted(function: str, column: str | None = None) -> Column:
@@ -99,9 +125,14 @@ def aggregate_runs(runs: DataFrame, keys: Sequence[str], aggs: Sequence[Column])
 
 
 def numbered(runs: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """start_vid as a running sum of length in an order. For results of an aggregate: one row a group."""
-    until = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return runs.withColumn("start_vid", F.coalesce(F.sum("length").over(until), F.lit(0).cast("long")))
+    """start_vid as a running sum of length in an order. Rows are dealt to ranges of the order, each is summed on its own,
+    and only the ranges' totals (a row each) are summed together. The ranges are held, so that both sums see the same."""
+    dealt = runs.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    until = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = dealt.withColumn("_own", F.coalesce(F.sum("length").over(until), F.lit(0).cast("long")))
+    along = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("_part").agg(F.sum("length").alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(along), F.lit(0).cast("long")).alias("_before"))
+    return own.join(F.broadcast(totals), "_part").withColumn("start_vid", F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
 
 
 def join_runs(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], chunk: int = CHUNK) -> DataFrame:

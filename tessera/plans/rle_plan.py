@@ -1,9 +1,9 @@
-"""A small plan over run tables: filters go to the column they read, columns that nothing reads are not joined, and runs are
-decoded last."""
+"""A small plan over run tables: filters go to the column they read, columns that nothing reads are not joined, joins work on
+runs, and runs are decoded last."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -20,9 +20,11 @@ class RunPlan:
     selected: tuple[str, ...] | None = field(default=None)
 
     def filter(self, reads: Sequence[str], condition: Column) -> RunPlan:
+        _known(reads, self.columns)
         return replace(self, filters=(*self.filters, (frozenset(reads), condition)))
 
     def select(self, *names: str) -> RunPlan:
+        _known(names, self.columns)
         return replace(self, selected=names)
 
     def runs(self) -> DataFrame:
@@ -49,3 +51,63 @@ class RunPlan:
 
     def rows(self) -> DataFrame:
         return rle.decode(self.runs())
+
+    def join(self, other: RunPlan, keys: Sequence[tuple[str, str]]) -> JoinPlan:
+        """An inner equi-join on runs, below decoding: a pair of runs meets once, whatever their lengths."""
+        return JoinPlan(self, other, tuple(keys))
+
+
+@dataclass(frozen=True)
+class JoinPlan:
+    """A join of two plans. Filters go to the side that holds all they read, and only those of both sides wait for the join;
+    each side joins only the columns that keys, selection or waiting filters need."""
+
+    left: RunPlan
+    right: RunPlan
+    keys: tuple[tuple[str, str], ...]
+    filters: tuple[tuple[frozenset[str], Column], ...] = ()
+    selected: tuple[str, ...] | None = None
+
+    def __post_init__(self) -> None:
+        if not self.keys:
+            raise ValueError("an equi-join needs at least one key pair")
+        if clash := set(self.left.columns) & set(self.right.columns):
+            raise ValueError(f"both sides have {sorted(clash)}")
+        _known([a for a, _ in self.keys], self.left.columns)
+        _known([b for _, b in self.keys], self.right.columns)
+
+    @property
+    def columns(self) -> list[str]:
+        return [*(self.left.selected or self.left.columns), *(self.right.selected or self.right.columns)]
+
+    def filter(self, reads: Sequence[str], condition: Column) -> JoinPlan:
+        for side in ("left", "right"):
+            if set(reads) <= set(getattr(self, side).columns):
+                return replace(self, **{side: getattr(self, side).filter(reads, condition)})
+        _known(reads, [*self.left.columns, *self.right.columns])
+        return replace(self, filters=(*self.filters, (frozenset(reads), condition)))
+
+    def select(self, *names: str) -> JoinPlan:
+        _known(names, self.columns)
+        return replace(self, selected=names)
+
+    def runs(self) -> DataFrame:
+        """Runs of the selected columns; ids are dense from 0 in the order of the sides' ids."""
+        wanted = list(self.selected or self.columns)
+        read = {*wanted, *(c for pair in self.keys for c in pair), *(c for reads, _ in self.filters for c in reads)}
+        sides = [side.select(*[c for c in side.columns if c in read]).runs() for side in (self.left, self.right)]
+        out = rle.join_runs(*sides, self.keys)
+        for _, condition in self.filters:
+            out = rle.filter_runs(out, condition)
+        return rle.project_runs(out, *wanted)
+
+    def aggregate(self, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
+        return rle.aggregate_runs(self.runs(), keys, aggs)
+
+    def rows(self) -> DataFrame:
+        return rle.decode(self.runs())
+
+
+def _known(names: Iterable[str], columns: Iterable[str]) -> None:
+    if missing := sorted(set(names) - set(columns)):
+        raise ValueError(f"the plan has no column {', '.join(missing)}")

@@ -68,7 +68,22 @@ def filter_reconstruct_pushdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.filter(["o_orderstatus"], F.col("o_orderstatus") == "O").filter(["o_orderpriority"], F.col("o_orderpriority") < "3").rows()
 
 
-QUERIES = {f.__name__: f for f in (rle_encode, rle_decode, rle_filter, rle_project, rle_reconstruct, rle_reconstruct_long, rle_aggregate, rle_join, filter_reconstruct_pushdown)}
+def join_below_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A join of plans, a filter for each side and one for both, counted on the runs."""
+    tags = read_table(spark, f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("vid"), F.concat(F.col("n_regionkey") + 1, F.lit("-x")).alias("tag"), "n_name")
+    left = RunPlan({"p": rle.project_runs(_runs(spark, sf_dir, "o_orderpriority"), F.concat(F.substring("o_orderpriority", 1, 1), F.lit("-x")).alias("p")), "o_orderstatus": _runs(spark, sf_dir, "o_orderstatus")})
+    right = RunPlan({"tag": rle.encode(tags, "vid", ["tag"]), "n_name": rle.encode(tags, "vid", ["n_name"])})
+    plan = left.join(right, [("p", "tag")]).filter(["o_orderstatus"], F.col("o_orderstatus") != "P").filter(["tag"], F.col("tag") < "5").filter(["o_orderstatus", "n_name"], F.substring("n_name", 1, 1) != F.col("o_orderstatus"))
+    return plan.select("p", "o_orderstatus").aggregate(["p", "o_orderstatus"], [rle.weighted("count").alias("n")])
+
+
+def long_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of many ids: overlaps of a run of 3,000,000,000 ids with the runs of the orders, of which none is decoded."""
+    whole = spark.range(1).select(F.lit(0).cast("long").alias("start_vid"), F.lit(3_000_000_000).cast("long").alias("length"), F.lit("x").alias("tag"))
+    return rle.reconstruct(whole, _runs(spark, sf_dir, "o_orderstatus"))
+
+
+QUERIES = {f.__name__: f for f in (rle_encode, rle_decode, rle_filter, rle_project, rle_reconstruct, rle_reconstruct_long, rle_aggregate, rle_join, filter_reconstruct_pushdown, join_below_decode, long_run)}
 
 
 def _sql_runs(name: str, table: str, vid: str, values: dict[str, str]) -> str:
@@ -98,5 +113,10 @@ FROM t GROUP BY o_orderpriority""",
 WITH {_P}, {_sql_runs("n", "nation", "n_nationkey", {"tag": "CAST(n_regionkey + 1 AS VARCHAR) || '-x'"})},
 j AS (SELECT p.start_vid AS a, n.start_vid AS b, p.length * n.length AS length, substr(o_orderpriority, 1, 1) || '-x' AS p, tag FROM p JOIN n ON substr(o_orderpriority, 1, 1) || '-x' = tag)
 SELECT CAST(coalesce(sum(length) OVER (ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_vid, length, p, tag FROM j""",
+    "join_below_decode": """
+WITH j AS (SELECT substr(o_orderpriority, 1, 1) || '-x' AS p, o_orderstatus FROM orders JOIN nation ON substr(o_orderpriority, 1, 1) = CAST(n_regionkey + 1 AS VARCHAR)
+           WHERE o_orderstatus <> 'P' AND substr(o_orderpriority, 1, 1) < '5' AND substr(n_name, 1, 1) <> o_orderstatus)
+SELECT CAST(row_number() OVER (ORDER BY p, o_orderstatus) - 1 AS BIGINT) AS start_vid, CAST(1 AS BIGINT) AS length, p, o_orderstatus, count(*) AS n FROM j GROUP BY p, o_orderstatus""",
+    "long_run": f"WITH {_S} SELECT start_vid, length, 'x' AS tag, o_orderstatus FROM s",
     "filter_reconstruct_pushdown": "SELECT CAST(o_orderkey AS BIGINT) AS vid, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority < '3'",
 }

@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,11 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), hashing.tokens(F.col("text")).alias("keywords"))
 
 
+def signed(spark: SparkSession, sf_dir: str, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
+    """Min-hashes of all documents, made once for the corpus and the queries of it: a few numbers a document."""
+    return S.signed(records(spark, sf_dir), seeds).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def asked(corpus: DataFrame) -> DataFrame:
     return corpus.where(F.col("id") % 50 == 0)
 
@@ -44,33 +50,33 @@ def exact_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lsh_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = records(spark, sf_dir)
+    corpus = signed(spark, sf_dir, SEEDS[:1])
     return _long(S.Lsh(corpus, SEEDS[0]).eval(asked(corpus)))
 
 
 def lsh_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = records(spark, sf_dir)
+    corpus = signed(spark, sf_dir, SEEDS[:1])
     return _long(S.BroadcastLsh(corpus, SEEDS[0]).eval(asked(corpus)))
 
 
 def lsh_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = records(spark, sf_dir)
+    corpus = signed(spark, sf_dir, SEEDS[:1])
     return _long(S.BalancedLsh(corpus, SEEDS[0], 8).eval(asked(corpus)))
 
 
 def lsh_and(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = records(spark, sf_dir)
+    corpus = signed(spark, sf_dir)
     return _long(S.both(*[S.Lsh(corpus, s) for s in SEEDS]).eval(asked(corpus)))
 
 
 def lsh_or(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = records(spark, sf_dir)
+    corpus = signed(spark, sf_dir)
     return _long(S.either(*[S.Lsh(corpus, s) for s in SEEDS]).eval(asked(corpus)))
 
 
 def lsh_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OR of an AND and a third construction."""
-    corpus = records(spark, sf_dir)
+    corpus = signed(spark, sf_dir, (*SEEDS, 44))
     return _long(S.either(S.both(*[S.Lsh(corpus, s) for s in SEEDS]), S.Lsh(corpus, 44)).eval(asked(corpus)))
 
 
@@ -90,8 +96,8 @@ def equi_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _measured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     corpus = records(spark, sf_dir)
-    queries = asked(corpus)
-    return corpus, queries, S.ExactNN(corpus, THRESHOLD).eval(queries), S.Lsh(corpus, SEEDS[0]).eval(queries)
+    queries, hashes = asked(corpus), signed(spark, sf_dir, SEEDS[:1])
+    return corpus, queries, S.ExactNN(corpus, THRESHOLD).eval(queries), S.Lsh(hashes, SEEDS[0]).eval(asked(hashes))
 
 
 def lsh_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,17 +119,22 @@ def tune_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeds that an AND needs for its precision, with the value reached."""
     corpus, queries, truth, _ = _measured(spark, sf_dir)
     made, value = S.tune_precision(corpus, queries, truth.persist())
-    return spark.createDataFrame([(len(made.children), float(value))], "children int, value double")
+    return spark.createDataFrame([(len(made.children), round(float(value), 9))], "children int, value double")
 
 
 def tune_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeds that an OR needs for its recall, with the value reached."""
     corpus, queries, truth, _ = _measured(spark, sf_dir)
     made, value = S.tune_recall(corpus, queries, truth.persist())
-    return spark.createDataFrame([(len(made.children), float(value))], "children int, value double")
+    return spark.createDataFrame([(len(made.children), round(float(value), 9))], "children int, value double")
+
 
+def query_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first tenth of the queries by id."""
+    return S.query_sample(asked(records(spark, sf_dir)), 0.1).select("id")
 
-QUERIES = {f.__name__: f for f in (jaccard, minhash, exact_nn, lsh_base, lsh_broadcast, lsh_balanced, lsh_and, lsh_or, lsh_nested, bucket_build, minhash_histogram, equi_depth, lsh_recall, lsh_precision, avg_distance, tune_precision, tune_recall)}
+
+QUERIES = {f.__name__: f for f in (jaccard, minhash, exact_nn, lsh_base, lsh_broadcast, lsh_balanced, lsh_and, lsh_or, lsh_nested, bucket_build, minhash_histogram, equi_depth, lsh_recall, lsh_precision, avg_distance, tune_precision, tune_recall, query_sample)}
 
 # --- the same in SQL -------------------------------------------------------------------------------------------------
 
@@ -163,7 +174,27 @@ def _measure(of: str) -> str:
     return f"{_MEASURE}, z AS (SELECT d.id, coalesce(h.h, 0) AS h, coalesce(t.n, 0) AS n FROM d LEFT JOIN h ON h.qid = d.id LEFT JOIN (SELECT qid, count(*) AS n FROM {of} GROUP BY qid) t ON t.qid = d.id WHERE d.id % 50 = 0) SELECT round(avg(CASE WHEN n > 0 THEN CAST(h AS DOUBLE) / n END), 9) AS value, count(*) FILTER (WHERE n = 0) AS undefined FROM z"
 
 
+MOST_SEEDS = 12
+
+
+def _tuned(of: str, target: float, also: str) -> str:
+    """Pairs by the seeds up to each, the measure of each, and the first above the target, else the last. also: how a seed's
+    pairs meet those before."""
+    parts = [f"WITH {_DOCS}", _EXACT]
+    for s in range(MOST_SEEDS):
+        parts += [_hash(s), _found(f"f_{s}", s)]
+        own = "SELECT qid, nb FROM f_0" if not s else also.format(now=f"f_{s}", before=f"a_{s - 1}")
+        parts.append(f"a_{s} AS MATERIALIZED ({own})")
+        share = f"(SELECT qid, count(*) AS n FROM {of.format(s)} GROUP BY qid)"
+        parts.append(f"v_{s}_ AS (SELECT {s} + 1 AS children, round(coalesce(avg(CAST(coalesce(h.h, 0) AS DOUBLE) / t.n), 0), 9) AS value FROM {share} t LEFT JOIN (SELECT a.qid, count(*) AS h FROM a_{s} a JOIN e ON a.qid = e.qid AND a.nb = e.nb GROUP BY a.qid) h ON h.qid = t.qid)")
+    every = " UNION ALL ".join(f"SELECT * FROM v_{s}_" for s in range(MOST_SEEDS))
+    return f"{', '.join(parts)}, r AS ({every}) SELECT CAST(children AS INTEGER) AS children, value FROM r WHERE children = coalesce((SELECT min(children) FROM r WHERE value > {target}), {MOST_SEEDS})"
+
+
 ORACLES = {
+    "tune_precision": _tuned("a_{}", 0.94, "SELECT {before}.qid, {before}.nb FROM {before} JOIN {now} ON {before}.qid = {now}.qid AND {before}.nb = {now}.nb"),
+    "tune_recall": _tuned("e", 0.95, "SELECT qid, nb FROM {before} UNION SELECT qid, nb FROM {now}"),
+    "query_sample": "SELECT doc_id AS id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, count(*) OVER () AS n FROM documents WHERE doc_id % 50 = 0) WHERE r <= CAST(floor(n * 0.1) AS BIGINT)",
     "jaccard": f"WITH {_DOCS} SELECT id, {_JACCARD} AS similarity FROM (SELECT a.id, len(list_intersect(a.k, b.k)) AS i, len(list_distinct(list_concat(a.k, b.k))) AS u FROM d a JOIN d b ON b.id = a.id + 1)",
     "minhash": f"WITH {_DOCS}, {_hash(42)} SELECT id, m AS minhash FROM m_42",
     "exact_nn": f"WITH {_DOCS}, {_EXACT} {_LISTED.format('e')}",

@@ -26,6 +26,12 @@ def read_tbl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(wide).option("sep", "|").csv(path).drop("_end")
 
 
+def parse_tbl(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """The rows of lines (`value`) of fields between bars; a bar may end the line."""
+    wide = T.StructType([*schema.fields, T.StructField("_end", T.StringType())])
+    return lines.select(F.from_csv("value", F.lit(wide.toDDL() if hasattr(wide, "toDDL") else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wide)), {"sep": "|"}).alias("r")).select("r.*").drop("_end")
+
+
 def parse_keywords(lines: DataFrame) -> DataFrame:
     """(title, keywords) of lines `title|keyword|...`; empty fields at the end do not count."""
     fields = F.split(F.regexp_replace("value", r"\|+$", ""), r"[|]")

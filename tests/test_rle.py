@@ -92,3 +92,42 @@ def test_plan_pushes_filters_and_drops_columns(spark):
     both = plan.filter(["v", "w"], (F.col("v") == "A") & (F.col("w") == "C"))
     assert rows_of(both.rows()) == [(0, "A", "C"), (4, "A", "C")]
     assert rows_of(plan.aggregate(["v"], [rle.weighted("count").alias("n")])) == [(0, 1, "A", 3), (1, 1, "B", 2)]
+
+
+def test_decode_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(rle, "BLOCK", 4)
+    runs = spark.createDataFrame([(-9, 30, "a"), (100, 1, "b"), (200, 0, "c"), (300, 16, None)], "start_vid long, length long, v string")
+    assert sorted(map(tuple, rle.decode(runs).collect()), key=str) == sorted([(-9 + i, "a") for i in range(30)] + [(100, "b")] + [(300 + i, None) for i in range(16)], key=str)
+
+
+def test_a_run_longer_than_any_array(spark):
+    runs = spark.createDataFrame([(5, 3_000_000_000, "a")], "start_vid long, length long, v string")
+    got = [r.vid for r in rle.decode(runs).limit(3).collect()]
+    assert len(set(got)) == 3 and all(5 <= v < 3_000_000_005 for v in got)
+    small = spark.createDataFrame([(2_999_999_999, 10, 1.0)], "start_vid long, length long, w double")
+    assert rows_of(rle.reconstruct(runs, small)) == [(2_999_999_999, 6, "a", 1.0)]
+
+
+def test_numbered_over_ranges(spark):
+    runs = spark.createDataFrame([(f"k{i:03}", i % 5) for i in range(200)], "k string, length long").repartition(7)
+    got = [(r.k, r.start_vid) for r in rle.numbered(runs, [F.col("k")]).orderBy("k").collect()]
+    assert got == [(f"k{i:03}", sum(j % 5 for j in range(i))) for i in range(200)]
+
+
+def test_plans_know_their_columns(spark):
+    x, y = rle.encode(table(spark, "AABBA"), "vid", ["v"]), rle.project_runs(rle.encode(table(spark, "CDDDC"), "vid", ["v"]), F.col("v").alias("w"))
+    plan, other = RunPlan({"v": x}), RunPlan({"w": y})
+    for wrong in (lambda: plan.filter(["z"], F.col("z") == 1), lambda: plan.select("z"), lambda: plan.join(other, []), lambda: plan.join(plan, [("v", "v")]), lambda: plan.join(other, [("v", "z")]), lambda: plan.join(other, [("v", "w")]).filter(["v", "z"], F.lit(True))):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_join_plan_pushes_filters(spark):
+    x = rle.encode(table(spark, "AABBAC"), "vid", ["v"])
+    y = rle.project_runs(rle.encode(table(spark, "CAAB"), "vid", ["v"]), F.col("v").alias("w"))
+    plan = RunPlan({"v": x}).join(RunPlan({"w": y}), [("v", "w")])
+    assert sorted(r[1:] for r in rows_of(plan.rows())) == [("A", "A")] * 6 + [("B", "B")] * 2 + [("C", "C")]
+    pushed = plan.filter(["v"], F.col("v") != "A").filter(["w"], F.col("w") != "C")
+    assert not pushed.filters and len(pushed.left.filters) == len(pushed.right.filters) == 1
+    assert rows_of(pushed.select("w").rows()) == [(0, "B"), (1, "B")]
+    assert len(plan.filter(["v", "w"], F.col("v") == F.col("w")).filters) == 1
