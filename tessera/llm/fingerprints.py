@@ -1,101 +1,54 @@
 """Canonical exact fingerprints in DataFrame operations only.
 
-A text is normalised (compatibility forms and combining marks composed, by tables made from the Unicode database), folded
-to lower case and single spaces, and hashed to 128 bits with two chained xxhash64. Documents are grouped by the hash, and
-the canonical texts inside a bucket are compared byte by byte; where a bucket holds different texts, their fingerprints
-get a SHA-256 suffix, so equal fingerprints mean equal canonical texts.
+A text is normalised (NFKC), case-folded (full folding, and NFKC again), its white space folded to single spaces, and hashed
+to 128 bits with two chained xxhash64. Normalisation and folding are those of the ICU library that Spark ships and uses for
+its collations, called by the SQL function reflect, so they run inside the JVM. Fingerprints, of texts and of edited texts,
+are grouped by the hash; inside a bucket that holds more than one text the canonical texts are compared byte by byte, and
+edited ones by their SHA-256. Where a bucket holds different texts, their fingerprints get the SHA-256 as a suffix, so equal
+fingerprints mean equal canonical texts.
 
-An exact digest knows equal and different only: a likeness is 1 or 0, and comes from comparing the canonical texts.
+An exact digest knows equal and different only: a likeness is 1 or 0.
 
-Defined cases: a null text counts as empty; the one row of a table is its own next document; rows of equal doc_id are
-ordered by their text; an empty table gives no rows; further columns are not read."""
+Defined cases: a null text counts as empty; the one row of a table is its own next document; rows of equal doc_id, and those
+of none, which come last, follow each other in the order of a hash; an empty table gives no rows; further columns are not
+read."""
 
 from __future__ import annotations
 
-import json
 import re
-import sys
 import unicodedata
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that a task of the ordering holds, about, and the most ranges that the ids are cut into.
-RANGE_ROWS, MOST_RANGES = 1024, 20_000
-
-
-@lru_cache(1)
-def tables() -> tuple[list[tuple[str, str]], list[tuple[str, str]], list[tuple[str, str]]]:
-    """(pairs of base and mark, single characters, characters that become several), made from the Unicode database."""
-    pairs, singles, several = [], [], []
-    for code in range(0x80, 0x20000):
-        if 0xAC00 <= code <= 0xD7A3 or 0xD800 <= code <= 0xDFFF:
-            continue
-        c = chr(code)
-        parts = unicodedata.decomposition(c)
-        if not parts:
-            continue
-        whole = unicodedata.normalize("NFKC", c)
-        if not parts.startswith("<") and whole == c and len(parts.split()) == 2:
-            first, second = (chr(int(x, 16)) for x in parts.split())
-            pairs.append((first + second, c))
-        elif whole != c:
-            (singles if len(whole) == 1 else several).append((c, whole))
-    return pairs, singles, several
-
-
-def _class(chars: list[str], gap: int = 128) -> str:
-    """A regular expression class that holds the characters, in few ranges: beyond Latin-1, gaps up to `gap` are closed
-    (a class of thousands of ranges would be tried one by one)."""
-    out, codes = [], sorted({ord(c) for c in chars})
-    start = last = codes[0]
-    for code in [*codes[1:], sys.maxunicode + 9]:
-        if code > last + (gap if last > 0xFF else 1):
-            out.append(f"\\x{{{start:x}}}-\\x{{{last:x}}}")
-            start = code
-        last = code
-    return f"[{''.join(out)}]"
-
-
-def _replace_all(text: Column, table: list[tuple[str, str]]) -> Column:
-    rows = F.from_json(F.lit(json.dumps([{"a": a, "b": b} for a, b in table])), "array<struct<a:string,b:string>>")  # folded to a literal
-    return F.aggregate(rows, text, lambda t, x: F.replace(t, x["a"], x["b"]))
-
-
-@lru_cache(1)
-def _gate() -> str:
-    pairs, singles, several = tables()
-    return _class([x[0][1] for x in pairs] + [a for a, _ in singles] + [a for a, _ in several])
+from tessera.llm import common
+
+#: Rows that a task of the ordering holds, about.
+RANGE_ROWS = 1024
+#: Ranges that are found by one approximate quantile; it answers in the driver.
+MOST_RANGES = 20_000
+#: Digests that may be broadcast (tens of MB); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def normalised(text: Column) -> Column:
-    """Texts without any character of the tables are passed on as they are."""
-    pairs, singles, several = tables()
-    # twice: a composed letter may take one more mark
-    composed = F.when(text.rlike(r"\p{M}"), _replace_all(_replace_all(text, pairs), pairs)).otherwise(text)
-    single = F.translate(composed, "".join(a for a, _ in singles), "".join(b for _, b in singles))
-    whole = F.when(text.rlike(_class([a for a, _ in several])), _replace_all(single, several)).otherwise(single)
-    return F.when(text.rlike(_gate()), whole).otherwise(text)
+    """The text in normalisation form KC."""
+    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+
+
+def case_folded(text: Column) -> Column:
+    return F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), text, F.lit(True))
 
 
 def canonical(text: Column) -> Column:
-    folded = F.replace(F.replace(F.lower(normalised(F.coalesce(text, F.lit("")))), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
-    return F.trim(F.regexp_replace(folded, r"[\s\x{85}\x{a0}\x{2028}\x{2029}]+", " "))
+    folded = normalised(case_folded(normalised(F.coalesce(text, F.lit("")))))
+    return F.trim(F.regexp_replace(folded, r"[\s\x{85}\x{1680}\x{2028}\x{2029}]+", " "))
 
 
 def canonical_of(text: str | None) -> str:
-    """canonical() in Python, for tests."""
-    pairs, singles, several = tables()
-    text = text or ""
-    for _ in range(2):
-        for a, b in pairs:
-            text = text.replace(a, b)
-    text = text.translate({ord(a): b for a, b in singles})
-    for a, b in several:
-        text = text.replace(a, b)
-    folded = text.lower().replace("ß", "ss").replace("ς", "σ")
-    return re.sub("[ \t\n\x0b\x0c\r\x85\xa0  ]+", " ", folded).strip(" ")
+    """canonical() by Python's Unicode database, for tests."""
+    folded = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text or "").casefold())
+    return re.sub("[ \t\n\x0b\x0c\r\x85\u1680\u2028\u2029]+", " ", folded).strip(" ")
 
 
 def digest(canon: Column) -> Column:
@@ -103,49 +56,79 @@ def digest(canon: Column) -> Column:
     return F.concat(*[F.lpad(F.lower(F.hex(h)), 16, "0") for h in (F.xxhash64(canon), F.xxhash64(F.lit("wide"), canon))])
 
 
-def with_next(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, text, next_text): the text of the next document by descending doc_id, after the last the first. The ids
-    are cut at quantiles into ranges of a bounded number of rows; each range is ordered on its own, and only the first
-    row of each range goes to the range before."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    count = rows.count()
-    ranges = min(MOST_RANGES, max(1, count // RANGE_ROWS))
+def with_next(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, text, d) with next_text and next_d, of the next row by descending doc_id, after the last the first. The
+    ids are cut at quantiles into ranges of a bounded number of rows, and an id that fills several, or none at all, is dealt
+    over as many by a hash. Each range is ordered on its own; only its first row goes to the range before."""
+    facts = rows.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
+    ranges = min(MOST_RANGES, max(1, facts["ids"] // RANGE_ROWS))
     cuts = rows.select(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 100_000).alias("c")).first()["c"] if ranges > 1 else []
+    hot = {c: n for c in set(cuts or []) if (n := cuts.count(c)) > 1}  # ids that several quantiles fall on
     cuts = sorted(set(cuts or []))
     if cuts:  # binary search in a literal array: how many cuts are below the id
         bounds = F.lit(cuts)
         search = F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length())), F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high")), lambda s, _: F.when(s["low"] >= s["high"], s).otherwise(F.when(F.get(bounds, F.floor((s["low"] + s["high"]) / 2).cast("int")) < F.col("doc_id"), F.struct((F.floor((s["low"] + s["high"]) / 2) + 1).cast("int").alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), F.floor((s["low"] + s["high"]) / 2).cast("int").alias("high")))), lambda s: s["low"])
-        rows = rows.withColumn("range", F.coalesce(search, F.lit(-1)))
     else:
-        rows = rows.withColumn("range", F.lit(0))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    own = Window.partitionBy("range").orderBy(*order)
-    led = rows.withColumn("next_text", F.lead("text").over(own)).withColumn("last", F.lead(F.lit(1)).over(own).isNull())
+        search = F.when(F.col("doc_id").isNotNull(), F.lit(0))
+    # equal rows of such an id may be many: they are dealt by their place in the input too
+    spread, dealt = F.xxhash64("text"), F.xxhash64("text", F.monotonically_increasing_id())
+    ways = F.when(F.col("doc_id").isNull(), F.lit(-(-(facts["n"] - facts["ids"]) // RANGE_ROWS) or 1))
+    for c, n in hot.items():
+        ways = ways.when(F.col("doc_id") == c, F.lit(n + 1))
+    rows = rows.withColumn("spread", spread).withColumn("dealt", dealt).withColumn("range", F.coalesce(search, F.lit(-1)))
+    # an id that is dealt over ranges has them for itself: (range, its id, its number), by rank in the descending order
+    rows = rows.withColumn("own", F.when(ways.isNotNull(), F.coalesce("doc_id", F.lit(0)))).withColumn("way", F.when(F.col("own").isNotNull(), F.pmod("dealt", ways)).otherwise(F.lit(0).cast("long")))
+    key = ["range", "own", "way"]
+    order = [F.col("doc_id").desc_nulls_last(), F.col("spread"), F.col("text")]
+    mine = Window.partitionBy(*key).orderBy(*order)
+    led = rows.withColumn("next_text", F.lead("text").over(mine)).withColumn("next_d", F.lead("d").over(mine)).withColumn("last", F.lead(F.lit(1)).over(mine).isNull())
     # the first rows of the ranges: as many as ranges, moved to the range above (the last takes the overall first)
-    first = rows.groupBy("range").agg(F.min_by("text", F.struct(F.coalesce(-F.col("doc_id"), F.lit(2**63 - 1)), F.col("text"))).alias("first_text"))
-    names = rows.select("range").distinct()
-    down = Window.orderBy(F.col("range").desc())  # over at most MOST_RANGES numbers
-    follows = names.withColumn("follower", F.lead("range").over(down)).withColumn("follower", F.coalesce("follower", F.max("range").over(Window.partitionBy(F.lit(0)))))
-    heads = follows.join(first.withColumnRenamed("range", "follower"), "follower").select("range", "first_text")
-    return led.join(heads, (led["range"] == heads["range"]) & led["last"], "left").select("doc_id", "text", F.when(led["last"], F.col("first_text")).otherwise(F.col("next_text")).alias("next_text"))
+    first = rows.groupBy(*key).agg(F.min_by(F.struct("text", "d"), F.struct(F.coalesce(-F.col("doc_id"), F.lit(2**63 - 1)), F.col("spread"), F.col("text"))).alias("head"), F.max("doc_id").alias("top"))
+    down = Window.orderBy(F.col("top").desc_nulls_last(), "range", F.col("own").isNull(), "way")  # over the ranges
+    follows = first.withColumn("after", F.lead("head").over(down)).withColumn("after", F.coalesce("after", F.first("head").over(down)))
+    heads = follows.select(*key, "after")
+    same = (led["range"] == heads["range"]) & led["own"].eqNullSafe(heads["own"]) & (led["way"] == heads["way"]) & led["last"]
+    joined = led.join(heads, same, "left")
+    pick = lambda own, there: F.when(led["last"], F.col(f"after.{there}")).otherwise(F.col(own))
+    return joined.select("doc_id", "text", "d", pick("next_text", "text").alias("next_text"), pick("next_d", "d").alias("next_d"))
 
 
 def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
+    shared = common.Shared(docs.sparkSession)
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    canon = texts.select("doc_id", "text", canonical(F.col("text")).alias("c"))
+    rows = canon.select("doc_id", "text", F.struct(digest(F.col("c")).alias("d"), F.unhex(F.sha2("c", 256)).alias("s")).alias("d"))
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))
-    rows = with_next(docs, doc_id, text).select("doc_id", n.cast("long").alias("n_chars"), F.col("text"), edited.alias("edited"), "next_text")
-    canon = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("text")).alias("c"), canonical(F.col("edited")).alias("e"), canonical(F.col("next_text")).alias("x"))
-    fp = canon.select("doc_id", "n_chars", "edited_sha256", digest(F.col("c")).alias("d"), digest(F.col("e")).alias("ed"), F.unhex(F.sha2("c", 256)).alias("s"), F.unhex(F.sha2("e", 256)).alias("es"), (F.col("c") == F.col("e")).alias("same"), (F.col("c") == F.col("x")).alias("same_next"))
-    mixed = F.broadcast(collisions(docs, text))
-    out = fp.join(mixed.select(F.col("d"), F.lit(True).alias("mixed")), "d", "left").join(mixed.select(F.col("d").alias("ed"), F.lit(True).alias("edited_mixed")), "ed", "left")
-    full = lambda d, s, m: F.when(F.col(m), F.concat(F.col(d), F.lit("-"), F.lower(F.hex(s)))).otherwise(F.col(d))
-    return out.select("doc_id", "n_chars", "edited_sha256", full("d", "s", "mixed").alias("fingerprint"), full("ed", "es", "edited_mixed").alias("edited_fingerprint"), F.col("same").cast("double").alias("near_edited"), F.col("same_next").cast("double").alias("near_next"))
-
-
-def collisions(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Digests whose bucket holds different canonical texts. Equal texts meet as one set element before the shuffle, so a
-    hot group of copies costs one text for each task."""
-    canon = docs.select(canonical(F.col(text)).alias("c"))
-    return canon.groupBy(digest(F.col("c")).alias("d")).agg(F.size(F.collect_set("c")).alias("n")).where("n > 1").select("d")
+    led = with_next(rows).select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "d", "next_d")
+    led = led.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "d", "next_d", canonical(F.col("edited")).alias("e"))
+    # without texts: what is left to do moves digests only
+    fp = shared.write(led.select("doc_id", "n_chars", "edited_sha256", "d.d", "d.s", F.col("next_d.d").alias("nd"), F.col("next_d.s").alias("ns"), digest(F.col("e")).alias("ed"), F.unhex(F.sha2("e", 256)).alias("es")), keep=True)
+    mixed = shared.write(collisions(fp, texts), keep=True)
+    few = common_few(mixed)
+    out = fp
+    for d in ("d", "ed", "nd"):
+        out = out.join(few.select(F.col("d").alias(d), F.lit(True).alias(f"{d}_mixed")), d, "left")
+    full = lambda d, s: F.when(F.col(f"{d}_mixed"), F.concat(F.col(d), F.lit("-"), F.lower(F.hex(s)))).otherwise(F.col(d))
+    out = out.select("doc_id", "n_chars", "edited_sha256", full("d", "s").alias("fingerprint"), full("ed", "es").alias("edited_fingerprint"), full("nd", "ns").alias("next"))
+    near = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next").alias("near_next"))
+
+
+def common_few(digests: DataFrame) -> DataFrame:
+    """The table, to be broadcast if its counted rows are few enough."""
+    return F.broadcast(digests) if digests.count() <= BROADCAST_ROWS else digests
+
+
+def collisions(fp: DataFrame, texts: DataFrame) -> DataFrame:
+    """Digests whose bucket holds different texts. A bucket's SHA-256 sums of texts and edited texts are held against each
+    other; and the canonical texts themselves, byte by byte, of documents whose digest is there more than once: equal
+    texts meet in a task before the shuffle, so a hot group of copies costs two texts for each task."""
+    sums = fp.select("d", "s").unionByName(fp.select(F.col("ed").alias("d"), F.col("es").alias("s")))
+    unlike = sums.groupBy("d").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low <> high").select("d")
+    again = fp.groupBy("d").agg(F.count("*").alias("n")).where("n > 1").select("d")
+    canon = texts.select(canonical(F.col("text")).alias("c")).select(digest(F.col("c")).alias("d"), "c")
+    bytes_ = canon.join(common_few(again), "d", "left_semi").groupBy("d").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("d")
+    return unlike.unionByName(bytes_).distinct()

@@ -70,3 +70,40 @@ def test_a_shared_digest_is_told_apart(spark, monkeypatch):
 def test_whole_table(spark, sf):
     rows = [(r.doc_id, r.text) for r in common.table(spark, sf, "documents").collect()]
     check(queries.QUERIES["op3_fingerprint"](spark, sf).collect(), rows)
+
+
+def test_normal_form_against_the_unicode_database(spark):
+    import random
+    import sys
+
+    rng = random.Random(6)
+    codes = [c for c in range(0x80, sys.maxunicode) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    texts = ["".join(map(chr, codes[i : i + 50])) for i in range(0, len(codes), 50)]
+    odd = [c for c in codes if unicodedata.combining(chr(c)) or unicodedata.decomposition(chr(c)) or 0x1100 <= c < 0x1200]
+    texts += ["".join(chr(rng.choice(odd)) if rng.random() < 0.7 else rng.choice("aeoAEO한ᄒ") for _ in range(12)) for _ in range(3000)]
+    texts += ["ậ", "ậ", "한", "한", "\U0002f800", "丽"]
+    got = spark.createDataFrame([(t,) for t in texts], "a string").select("a", P.normalised(F.col("a")).alias("x"), P.canonical(F.col("a")).alias("y")).collect()
+    assert all(r.x == unicodedata.normalize("NFKC", r.a) and r.y == P.canonical_of(r.a) for r in got)
+    assert got[-6].x == got[-5].x and got[-4].x == got[-3].x and got[-2].x == got[-1].x
+
+
+def test_null_and_hot_ids_are_dealt_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(P, "RANGE_ROWS", 8)
+    rows = [(i, f"t{i}") for i in range(60)] + [(30, f"hot {i % 9}") for i in range(90)] + [(None, "none" if i % 2 else f"none {i}") for i in range(50)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("d", F.col("text"))
+    led = P.with_next(frame).collect()
+    assert sorted(r.next_text for r in led) == sorted(r.text for r in led) == sorted(t for _, t in rows)
+    assert all(r.next_d == r.next_text for r in led)
+    after = {r.doc_id: r.next_text for r in led if r.doc_id is not None and r.doc_id not in (30, 31)}
+    assert all(after[i] == f"t{i - 1}" for i in after if i > 0) and after[0].startswith("none")
+    assert [r.next_text for r in led if r.doc_id is None and r.next_text == "t59"] == ["t59"]
+    plan = P.with_next(frame)
+    assert plan.count() == len(rows)
+
+
+def test_digests_of_edited_texts_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(P, "digest", lambda c: F.substring(c, 1, 1))
+    docs = spark.createDataFrame([(9, "abcdef"), (8, "xyz"), (7, "q")], "doc_id long, text string")
+    got = {r.doc_id: r for r in P.fingerprint(docs).collect()}
+    assert got[9].fingerprint != got[9].edited_fingerprint and got[9].near_edited == 0.0  # abcdef and abcdxy
+    assert got[7].fingerprint == got[7].edited_fingerprint == "q" and got[7].near_edited == 1.0
