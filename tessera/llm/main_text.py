@@ -40,14 +40,19 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Words of class, id and role that name what is not main text.
 UNWANTED = frozenset("ad ads adv advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar widget footer header masthead cookie cookies consent gdpr notice popup modal newsletter subscribe share sharing social comment comments commentlist disqus respond replies related recommended form login search".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+# a tag ends at the next tag or the end of the page too, so no search looks at a part of the page again and again
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/><]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\"><]++)*+)(?:>|(?=<)|\Z)", re.S)
 _NAMED = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _SPACE = re.compile(r"\s+")
-_RAW_END = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*>", re.I) for x in RAW}
+_RAW_END = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for x in RAW}
 
 
-def unwanted(attributes: str) -> bool:
-    return any(w in UNWANTED for m in _NAMED.finditer(attributes) for w in re.split(r"[^a-z0-9]+", m[1].lower()))
+#: Words that name the head of an article where they stand inside it.
+OWN_HEAD = frozenset(("header", "masthead"))
+
+
+def unwanted(attributes: str, article: bool = False) -> bool:
+    return any(w in UNWANTED and not (article and w in OWN_HEAD) for m in _NAMED.finditer(attributes) for w in re.split(r"[^a-z0-9]+", m[1].lower()))
 
 
 def blocks(page: str | None) -> tuple[list[str], bool]:
@@ -57,6 +62,7 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
     outside: list[str] = []
     part: list[str] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether they are dropped
+    open_: dict[str, int] = {}  # how many of each name
     dropped = article = 0
     found = False
 
@@ -70,6 +76,7 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
     def pop() -> None:
         nonlocal dropped, article
         name, drops = stack.pop()
+        open_[name] -= 1
         dropped -= drops
         article -= name in ("article", "main")
 
@@ -89,7 +96,7 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
         elif name in VOID and not dropped:
             part.append(" ")
         if m[1]:
-            if any(n == name for n, _ in stack):
+            if open_.get(name):
                 while stack[-1][0] != name:
                     pop()
                 pop()
@@ -110,8 +117,9 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
                 if stack[k][0] in BLOCK:
                     break
         # the parts of an article have their own header, and the article itself is never unwanted by its name
-        drops = (name in DROPPED and not (name == "header" and article)) or (name not in ("article", "main", "body", "html") and unwanted(m[3]))
+        drops = (name in DROPPED and not (name == "header" and article)) or (name not in ("article", "main", "body", "html") and unwanted(m[3], article > 0))
         stack.append((name, drops))
+        open_[name] = open_.get(name, 0) + 1
         dropped += drops
         if name in ("article", "main") and not dropped:
             found = True
@@ -125,13 +133,16 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(page_key, page_id, url, html) with the blocks in place of the page."""
     for batch in batches:
-        keep, article = [], []
-        for page in batch.column(3):
-            b, a = blocks(page.as_py())
-            keep.append(b)
-            article.append(a)
-        tokens = [0 if a else sum(x.count(" ") + 1 for x in b) for b, a in zip(keep, article, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(keep, pa.list_(pa.string())), pa.array(article, pa.bool_()), pa.array(tokens, pa.int64())], ["page_key", "page_id", "url", "blocks", "article", "tokens"])
+        _, offsets = common.buffers(batch.column(3))
+        for low, high in common.steps(offsets):
+            part = batch.slice(low, high - low)
+            keep, article = [], []
+            for page in part.column(3):
+                b, a = blocks(page.as_py())
+                keep.append(b)
+                article.append(a)
+            tokens = [0 if a else sum(x.count(" ") + 1 for x in b) for b, a in zip(keep, article, strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(keep, pa.list_(pa.string())), pa.array(article, pa.bool_()), pa.array(tokens, pa.int64())], ["page_key", "page_id", "url", "blocks", "article", "tokens"])
 
 
 def suffixes(codes: np.ndarray) -> np.ndarray:

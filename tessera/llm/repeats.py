@@ -156,14 +156,13 @@ def scattered(buckets: int):
             bucket = ((digest[early] >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
             digest, check, doc, key, nth = digest[early], check[early], doc[early], key[early], nth[early]
             by, late_by = np.argsort(bucket, kind="stable"), np.argsort(to, kind="stable")
-            cut, late_cut = np.searchsorted(bucket[by], np.arange(buckets + 1)), np.searchsorted(to[late_by], np.arange(buckets + 1))
-            names, blobs = [], []
-            for b in range(buckets):
-                g, h = by[cut[b] : cut[b + 1]], late_by[late_cut[b] : late_cut[b + 1]]
-                if len(g) or len(h):
-                    g = g[np.lexsort((nth[g], doc[g]))]
-                    names.append(b)
-                    blobs.append(_pack((late_key[h], late_nth[h]), digest[g], check[g], doc[g], key[g], nth[g]))
+            there = np.unique(np.concatenate((bucket, to)))  # of a task's units, not of all buckets
+            names, blobs = there.tolist(), []
+            at = [np.searchsorted(x, there, side) for x in (bucket[by], to[late_by]) for side in ("left", "right")]
+            for low, high, late_low, late_high in zip(*[x.tolist() for x in at], strict=True):
+                g, h = by[low:high], late_by[late_low:late_high]
+                g = g[np.lexsort((nth[g], doc[g]))]
+                blobs.append(_pack((late_key[h], late_nth[h]), digest[g], check[g], doc[g], key[g], nth[g]))
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "data"])
 
         for batch in batches:
@@ -265,22 +264,22 @@ def _cut(names: list[str], min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = common.buffers(batch.column(0))
-            texts, nths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            n_units, n_removed, spans = [], [], []
             for a, b in common.steps(offsets):
+                own_rows = batch.slice(a, b - a)
+                texts, nths = own_rows.column(0).to_pylist(), own_rows.column(1).to_pylist()
                 part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 u = Units(part, own)
                 point = np.concatenate(([0], np.cumsum((part & 0xC0) != 0x80)))  # code points before each byte
-                late = [u.at(i, np.asarray(nths[a + i], np.int64)) for i in range(b - a) if nths[a + i]]
+                late = [u.at(i, np.asarray(nths[i], np.int64)) for i in range(b - a) if nths[i]]
                 goes = _gone(u, np.concatenate(late) if late else np.zeros(0, np.int64), min_words)
                 x, y = _runs(goes, u.sentence)
                 base = point[own[u.word_row[x]]]
                 pieces: dict[int, list[str]] = {}
                 for i, from_, to in zip(u.word_row[x].tolist(), (point[u.start[x]] - base).tolist(), (point[u.end[y]] - base).tolist(), strict=True):
                     pieces.setdefault(i, []).append(f"{from_}:{to}")
-                n_units += u.count.tolist()
-                n_removed += [len(pieces.get(i, ())) for i in range(b - a)]
-                spans += [",".join(pieces.get(i, ())) for i in range(b - a)]
+                n_units = u.count.tolist()
+                n_removed = [len(pieces.get(i, ())) for i in range(b - a)]
+                spans = [",".join(pieces.get(i, ())) for i in range(b - a)]
                 x, y = _runs(goes, u.word_row)
                 kept: dict[int, list[tuple[int, int]]] = {}
                 for i, from_, last in zip(u.word_row[x].tolist(), u.start[x].tolist(), y.tolist(), strict=True):  # with the white space up to the next word
@@ -291,8 +290,8 @@ def _cut(names: list[str], min_words: int):
                     for from_, to in cuts:
                         out.append(raw[end : from_ - int(own[i])])
                         end = to - int(own[i])
-                    texts[a + i] = b"".join([*out, raw[end:]]).decode("utf-8", "replace")
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(n_units, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.string()), *batch.columns[2:]], ["text", "n_units", "n_removed", "removed", *names])
+                    texts[i] = b"".join([*out, raw[end:]]).decode("utf-8", "replace")
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(n_units, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.string()), *own_rows.columns[2:]], ["text", "n_units", "n_removed", "removed", *names])
 
     return run
 

@@ -103,3 +103,25 @@ def test_short_menus_and_half_covered_blocks(spark, monkeypatch, tokens):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in main_text.extract(pages).collect()}
     assert got == {i: f"{own(i)}\n\n{long(i)}" for i in range(9)}
+
+
+@pytest.mark.parametrize("page", ["<a " * 400_000, "<a \"" * 300_001, "<a '" * 300_001, "<a " * 300_000 + "'>", "<b>" * 60_000 + "</i>" * 60_000, "<script>" + "</script " * 100_000, "<p>" * 100_000, "<!-- " * 100_000, "&lt" * 100_000])
+def test_broken_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    main_text.blocks(page)
+    assert time.process_time() - began < 10
+
+
+def test_head_of_an_article_stays():
+    assert text('<article><div class="article-header"><h1>Title</h1></div><p>Body</p><div class="article-share">Share</div></article>') == "Title\n\nBody"
+    assert text('<div class="site-header">Site</div><article><p>a<b</p><p x="1>2">c</p><br <p>d</article>') == "a\n\nc\n\nd"
+
+
+def test_repeated_rows_and_long_pages(spark):
+    long = "<article><p>" + "word " * 200_000 + "</p></article>"
+    rows = [(1, "http://a.example/", "<article><p>x</p></article>")] * 3 + [(2, None, long), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("blocks", F.lit("clash"))
+    got = sorted((r.page_id or 0, r.n_chars) for r in main_text.extract(pages).collect())
+    assert got == [(0, 0), (1, 1), (1, 1), (1, 1), (2, 999_999)]

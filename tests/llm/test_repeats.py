@@ -75,3 +75,12 @@ def test_passages_of_words_that_repeat_at_once(spark):
     found = repeats.apply(docs).collect()
     assert all(len(r.text.split()) < 20 and f"start {r.doc_id} here" in r.text and f"end {r.doc_id} here" in r.text for r in found if r.doc_id > 5)
     check(found, rows)
+
+
+def test_equal_ids_of_different_texts_and_long_texts(spark):
+    line = "this line of words is there in every text of the table"
+    rows = [(1, f"own start {i} z{i}y\n{line}") for i in range(4)] + [(None, f"{line}\nwithout id"), (None, None), (0, "w1 " * 400_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = repeats.apply(docs).collect()
+    assert len(got) == len(rows) and sum(line in (r.text or "") for r in got) == 1
+    assert sorted(r.text for r in got if r.doc_id == 1 and line not in r.text) == sorted(f"own start {i} z{i}y\n" for i in range(4) if not any(r.doc_id == 1 and line in r.text and f"start {i} " in r.text for r in got))
