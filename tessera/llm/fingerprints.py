@@ -76,20 +76,19 @@ def with_next(rows: DataFrame) -> DataFrame:
     for c, n in hot.items():
         ways = ways.when(F.col("doc_id") == c, F.lit(n + 1))
     rows = rows.withColumn("spread", spread).withColumn("dealt", dealt).withColumn("range", F.coalesce(search, F.lit(-1)))
-    # an id that is dealt over ranges has them for itself: (range, its id, its number), by rank in the descending order
-    rows = rows.withColumn("own", F.when(ways.isNotNull(), F.coalesce("doc_id", F.lit(0)))).withColumn("way", F.when(F.col("own").isNotNull(), F.pmod("dealt", ways)).otherwise(F.lit(0).cast("long")))
-    key = ["range", "own", "way"]
+    # an id that is dealt over ranges has them for itself; no part of the key is null, so window and join share a shuffle
+    rows = rows.withColumn("hot", ways.isNotNull()).withColumn("own", F.when(F.col("hot"), F.coalesce("doc_id", F.lit(0))).otherwise(F.lit(0).cast("long"))).withColumn("way", F.coalesce(F.pmod("dealt", ways), F.lit(0).cast("long")))
+    key = ["range", "hot", "own", "way"]
     order = [F.col("doc_id").desc_nulls_last(), F.col("spread"), F.col("text")]
     mine = Window.partitionBy(*key).orderBy(*order)
     led = rows.withColumn("next_text", F.lead("text").over(mine)).withColumn("next_d", F.lead("d").over(mine)).withColumn("last", F.lead(F.lit(1)).over(mine).isNull())
     # the first rows of the ranges: as many as ranges, moved to the range above (the last takes the overall first)
     first = rows.groupBy(*key).agg(F.min_by(F.struct("text", "d"), F.struct(F.coalesce(-F.col("doc_id"), F.lit(2**63 - 1)), F.col("spread"), F.col("text"))).alias("head"), F.max("doc_id").alias("top"))
-    down = Window.orderBy(F.col("top").desc_nulls_last(), "range", F.col("own").isNull(), "way")  # over the ranges
+    down = Window.orderBy(F.col("top").desc_nulls_last(), "range", F.col("hot").desc(), "way")  # over the ranges
     follows = first.withColumn("after", F.lead("head").over(down)).withColumn("after", F.coalesce("after", F.first("head").over(down)))
     heads = follows.select(*key, "after")
-    same = (led["range"] == heads["range"]) & led["own"].eqNullSafe(heads["own"]) & (led["way"] == heads["way"]) & led["last"]
-    joined = led.join(heads, same, "left")
-    pick = lambda own, there: F.when(led["last"], F.col(f"after.{there}")).otherwise(F.col(own))
+    joined = led.join(heads, key, "left")
+    pick = lambda own, there: F.when(F.col("last"), F.col(f"after.{there}")).otherwise(F.col(own))
     return joined.select("doc_id", "text", "d", pick("next_text", "text").alias("next_text"), pick("next_d", "d").alias("next_d"))
 
 
