@@ -8,7 +8,7 @@ transitions can win back, and where no run of characters around could win, the b
 only between such characters, in chunks whose transfer matrices are chained. A decoded span counts if it does not touch a pattern's span and holds what its kind cannot
 be without (holds()). Secrets (keys and tokens) are a further label; report() gives their spans in a column of their own.
 
-Memory is bounded by a step of text (common.steps), and of a longer text by a block of windows plus the scores of its
+Memory is bounded by a step of text (STEP), and of a longer text by a block of windows plus the scores of its
 characters that are not surely outside.
 
 Defined cases: a null or empty text has no spans; positions are code points, ends exclusive; repeated documents are each
@@ -148,8 +148,9 @@ EMBED, HIDDEN, TAGS = 10, 12, len(LABELS) + 1
 #: Characters of a window, and of its overlap with the next; the last window of a text ends with it.
 WINDOW, OVERLAP = 512, 32
 STRIDE = WINDOW - OVERLAP
-#: Windows whose scores are made at a time, and that step through the network together.
-BLOCK, TOGETHER = 2048, 512
+#: Bytes of text read at a time (or one longer text), windows whose scores are made at a time, and that step through the
+#: network together: some 40 MB beside the text.
+STEP, BLOCK, TOGETHER = 1 << 18, 512, 512
 #: Characters of a chunk of the search for the best path, and chunks searched together.
 CHUNK, CHUNKS = 512, 512
 #: Training: stretches and their length, rounds over them, batch, rate, seed.
@@ -552,7 +553,7 @@ def _report(p: dict[str, np.ndarray]):
         reader, names = Reader(p), [x.split()[0] for x in OUT.split(", ")]
         for batch in batches:
             _, offsets = common.buffers(batch.column(1))
-            for a, b in common.steps(offsets):
+            for a, b in common.steps(offsets, STEP):
                 own = examine(reader, batch.column(1).slice(a, b - a))
                 counts = [[sum(k == kind for _, k, _ in base) for base, _, _ in own] for kind in range(len(KINDS))]
                 hashes = [hashlib.sha256(joined(base).encode()).hexdigest() if base else EMPTY for base, _, _ in own]
@@ -583,7 +584,7 @@ def _mask(p: dict[str, np.ndarray], at: int):
         reader = Reader(p)
         for batch in batches:
             _, offsets = common.buffers(batch.column(at))
-            for a, b in common.steps(offsets):
+            for a, b in common.steps(offsets, STEP):
                 part = batch.slice(a, b - a)
                 spans = {i: every for i, (_, every, _) in enumerate(examine(reader, part.column(at))) if every}
                 if spans:
