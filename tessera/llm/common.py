@@ -113,10 +113,25 @@ def _at_end() -> None:
 # --- tasks -----------------------------------------------------------------------------------------------------------
 
 
-def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The function for a partition; at its end the worker, which Spark uses again, gives freed memory back."""
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, free: Callable[[], None]) -> None:
+    """Names what the tasks of one kind keep in their worker from task to task, and how to let it go."""
+    _held[name] = free
+
+
+def let_go(but: str = "") -> None:
+    for name in [x for x in _held if x != but]:
+        _held.pop(name)()
+
+
+def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function for a partition. As Spark uses workers again, what tasks of other kinds kept there goes first, and at
+    its end freed memory is given back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(keeps)
         try:
             yield from task(batches)
         finally:

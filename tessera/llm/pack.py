@@ -100,9 +100,10 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> Encoder:
-        """One for each Python worker."""
+        """One for each Python worker, as long as it serves tasks that encode."""
         if path not in cls._own:
             cls._own[path] = cls(path)
+            common.hold("encoder", cls._own.clear)
         return cls._own[path]
 
     def clear(self) -> None:
@@ -333,7 +334,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset)."""
     spark = docs.sparkSession
     shared = common.Shared(spark)
-    pieces = shared.write(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(common.tidy(cutter(tokenizer, sequence)), PIECES), keep=True)
+    pieces = shared.write(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(common.tidy(cutter(tokenizer, sequence), "encoder"), PIECES), keep=True)
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     whole = pieces.where(F.col("length") == sequence).select(*columns, (-(F.col("task").cast("long") * (1 << 36) + F.col("nth") + 1)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     parts, level = [whole], 0

@@ -44,6 +44,14 @@ def test_ids_are_those_of_the_library(library):
         assert out[at[i] : at[i + 1]].tolist() == [*library.encode(t, add_special_tokens=False).ids, 0], repr(t)
 
 
+def test_the_encoder_goes_when_a_worker_serves_others():
+    encoder = pack.Encoder.of(TOKENIZER)
+    assert list(common.tidy(lambda x: x, "encoder")(iter([1, 2]))) == [1, 2]
+    assert pack.Encoder.of(TOKENIZER) is encoder
+    assert list(common.tidy(lambda x: x)(iter([3]))) == [3]
+    assert pack.Encoder.of(TOKENIZER) is not encoder
+
+
 def test_defined_cases_and_small_cells(spark, library):
     rng = random.Random(1)
     texts = {i: " ".join(rng.choice(["the", "and", "word", "x1"]) for _ in range(rng.choice([1, 5, 300, 1500, 5000]))) for i in range(120)} | {500: None, 501: "", 502: "  "}
