@@ -187,3 +187,14 @@ def test_mask_of_empty_and_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "a@b.co"), (1, "a@b.co"), (None, "")], "doc_id long, text string").withColumn("spans", F.lit("clash"))
     assert sorted((r.text, r.spans) for r in pii.mask(docs).collect()) == [("", "clash"), ("<EMAIL>", "clash"), ("<EMAIL>", "clash")]
     assert pii.mask(docs.where("false")).count() == 0
+
+
+def test_few_windows_do_not_step_alone(monkeypatch):
+    """The windows of a step of text go through the network in one run for each direction, a few beyond a block included."""
+    runs, run = [], pii.Reader._run
+    monkeypatch.setattr(pii.Reader, "_run", lambda self, steps, side: runs.append(steps.shape[1]) or run(self, steps, side))
+    text = "some words and call (663) 555-6869 now " * (pii.STRIDE * (pii.BLOCK + 60) // 39)
+    tags = pii.decode(pii.weights(), [text])[0]
+    assert len(tags) == len(text)
+    assert len(runs) == 2 and min(runs) > pii.BLOCK
+    assert [list(pii._shares(n, 4)) for n in (0, 1, 4, 6, 7, 14)] == [[], [(0, 1)], [(0, 4)], [(0, 6)], [(0, 4), (4, 7)], [(0, 4), (4, 8), (8, 14)]]
